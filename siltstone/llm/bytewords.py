@@ -121,3 +121,20 @@ def sequence_hashes(values: np.ndarray, bounds: np.ndarray, salt: int) -> np.nda
     with np.errstate(over="ignore"):
         terms = np.concatenate([[np.uint64(0)], np.cumsum(mix(values ^ np.uint64(salt)) * up[place])])
         return mix(terms[bounds[1:]] - terms[bounds[:-1]] + n.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+
+
+def table_of(characters: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(characters)] = True
+    return out
+
+
+def trim(chunk: Chunk, starts: np.ndarray, ends: np.ndarray, outer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words without leading and trailing bytes of outer; a word of nothing else stays whole."""
+    s, e, last = starts.copy(), ends.copy(), max(len(chunk.data) - 1, 0)
+    while len(s) and (lead := (s < e) & outer[chunk.data[np.minimum(s, last)]]).any():
+        s += lead
+    while len(s) and (tail := (e > s) & outer[chunk.data[np.maximum(e - 1, 0)]]).any():
+        e -= tail
+    bare = s == e
+    return np.where(bare, starts, s), np.where(bare, ends, e)
