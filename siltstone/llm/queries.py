@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltstone.llm.shared import table
 
@@ -40,6 +41,61 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_benchmark_decontamination, op5_sentencepiece, op6_ngram_jaccard_join, op9_line_dedup, op10_toxicity)}
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.sharding import shard
 
-ORACLES: dict[str, str] = {}
+    rows = shard(table(spark, sf_dir, "documents"), shards=8)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.secret_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.licences import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.media import describe
+
+    rows = describe(table(spark, sf_dir, "documents"))
+    feature = F.concat_ws(":", F.size("fingerprints").cast("string"), F.lower(F.hex(F.xxhash64("fingerprints"))))
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "fingerprints")
+
+
+#: The query's rules: host, path, verdict.
+URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.url_rules import judge
+
+    return judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
+OPERATORS = (op1_benchmark_decontamination, op2_sharding, op3_secret_scan, op4_licence_scan, op5_sentencepiece, op6_ngram_jaccard_join, op7_media_columns, op8_url_filter, op9_line_dedup, op10_toxicity)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
+
+_FITS = " OR ".join(f"((host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') AND rule = '{h}{p}')" for h, p, _ in URL_RULES)
+_RULES = ", ".join(f"('{h}{p}', '{v}')" for h, p, v in URL_RULES)
+
+ORACLES: dict[str, str] = {
+    "op8_url_filter": f"""
+        WITH parts AS (
+            SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), split AS (
+            SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM parts
+        ), ranked AS (
+            SELECT page_id, host, path, rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST) AS nth
+            FROM split LEFT JOIN (VALUES {_RULES}) r(rule, verdict) ON {_FITS}
+        )
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM ranked WHERE nth = 1
+    """,
+}
