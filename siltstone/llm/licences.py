@@ -1,7 +1,7 @@
 """Licence scan by sentence rules.
 
-Texts are cut into sentences; a sentence in normal form (lower case, words only) is looked up among known licence sentences and becomes its
-identifier.  Identifier sequences are then matched against ordered rules: a rule is a list of identifiers that must follow each other, with
+Texts are cut into pieces at line ends and sentence stops; the longest run of pieces whose normal form (lower case, words only) is a known licence
+sentence becomes its identifier, so wrapped lines do not matter.  Identifier sequences are then matched against ordered rules: a rule is a list of identifiers that must follow each other, with
 at most `gap` unknown sentences between two of them.  Rules are tried at each place from the longest to the shortest, and a match consumes its sentences.
 
 Rows: a null or empty text has no sentence and gives no row.  Repeated licences in one text give a row each; equal rows give equal
@@ -76,7 +76,7 @@ RULES = (
 )
 
 #: A text without any of these, in lower case, has no known sentence: each known sentence has one (a test holds that).
-HINTS = ("licens", "rights reserved", "permission", "warrant", "redistribut", "public domain", "copyright")
+HINTS = ("licens", "rights reserved", "permission", "warrant", "redistribut", "public domain", "released", "distributed", "available", "published")
 _CUT = re.compile(r"[^\n.!?;:]+(?:[.!?;:](?!\s|$)[^\n.!?;:]*)*[.!?;:]*")
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 
@@ -87,9 +87,10 @@ def normal(sentence: str) -> str:
 
 @dataclass(frozen=True)
 class Book:
-    """Identifiers of the known sentences, and the rules by their first identifier, longest first."""
+    """Identifiers of the known sentences, all their beginnings, and the rules by their first identifier, longest first."""
 
     known: dict[str, str]
+    heads: frozenset[str]
     rules: dict[str, list[tuple[str, str, tuple[str, ...]]]]
 
 
@@ -103,7 +104,8 @@ def book() -> Book:
     rules: dict[str, list] = {}
     for rule in (*RULES, *((licence, "note", (f"note:{licence}",)) for licence in NAMES)):
         rules.setdefault(rule[2][0], []).append(rule)
-    return Book(known, {k: sorted(v, key=lambda r: -len(r[2])) for k, v in rules.items()})
+    heads = frozenset(s[:k] for s in known for k in [*(m.start() for m in re.finditer(" ", s)), len(s)])
+    return Book(known, heads, {k: sorted(v, key=lambda r: -len(r[2])) for k, v in rules.items()})
 
 
 def matches(text: str, b: Book, gap: int = 1) -> list[tuple[str, str, int, int]]:
@@ -111,17 +113,27 @@ def matches(text: str, b: Book, gap: int = 1) -> list[tuple[str, str, int, int]]
     low = text.lower()
     if not any(h in low for h in HINTS):
         return []
-    found = []  # (number of the sentence, identifier, start, end)
-    for k, m in enumerate(_CUT.finditer(text)):
-        if (name := b.known.get(normal(m[0]))) is not None:
-            lead = len(m[0]) - len(m[0].lstrip())
-            found.append((k, name, m.start() + lead, m.start() + len(m[0].rstrip())))
+    pieces = [(normal(m[0]), m) for m in _CUT.finditer(text)]
+    found, k = [], 0  # (first piece, last piece, identifier, start, end)
+    while k < len(pieces):
+        so_far, best, j = "", None, k
+        while j < len(pieces):
+            so_far = f"{so_far} {pieces[j][0]}".strip()
+            if so_far not in b.heads:
+                break
+            best = (j, b.known[so_far]) if so_far in b.known else best
+            j += 1
+        if best is not None:
+            first, last = pieces[k][1], pieces[best[0]][1]
+            found.append((k, *best, first.start() + len(first[0]) - len(first[0].lstrip()), last.start() + len(last[0].rstrip())))
+            k = best[0]
+        k += 1
     out, at = [], 0
     while at < len(found):
-        for licence, rule, names in b.rules.get(found[at][1], ()):
+        for licence, rule, names in b.rules.get(found[at][2], ()):
             run = found[at : at + len(names)]
-            if len(run) == len(names) and all(x[1] == n for x, n in zip(run, names, strict=True)) and all(y[0] - x[0] <= gap + 1 for x, y in zip(run, run[1:], strict=False)):
-                out.append((licence, rule, run[0][2], run[-1][3]))
+            if len(run) == len(names) and all(x[2] == n for x, n in zip(run, names, strict=True)) and all(y[0] - x[1] <= gap + 1 for x, y in zip(run, run[1:], strict=False)):
+                out.append((licence, rule, run[0][3], run[-1][4]))
                 at += len(names)
                 break
         else:

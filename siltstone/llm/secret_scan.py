@@ -1,8 +1,8 @@
 """Secret scan: three base patterns, and password guess costs in credential contexts.
 
 A value in a credential context (a key word, a separator, the value; or the password of a URL) is cut into words, dates, repeats, keyboard walks and
-brute-force spans so that the product of their guesses, times the factorial of the number of parts, is least.  The minimum is found by dynamic
-programming over positions.  Values that need at least 10**min_log_guesses guesses are reported as `guess` spans beside the base ones; the cost
+brute-force spans so that the product of their guesses, times 4 for each part, is least.  The minimum is found by dynamic programming over
+positions and is exact.  Values that need at least 10**min_log_guesses guesses are reported as `guess` spans beside the base ones; the cost
 tells random secrets from place holders such as "changeme2024".
 
 Spans are code points, end exclusive.  A base span is the whole match, a `guess` span the value.  Base matches are leftmost and non-overlapping per
@@ -36,6 +36,9 @@ _HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "logi
 WORDS = "password admin welcome login letmein secret changeme master dragon monkey shadow sunshine princess football baseball superman batman trustno hello freedom whatever qazwsx ninja mustang access flower starwars computer michelle jordan hunter soccer killer pepper ginger summer winter spring autumn orange banana cookie cheese coffee test user guest root default example sample dummy token pass key love money london berlin paris madrid server public private company".split()
 KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
 
+#: log10 of the guesses that each part costs for being one more.
+PART = math.log10(4)
+
 _RANK = {w: k + 1 for k, w in enumerate(WORDS)}
 _LONGEST = max(map(len, WORDS))
 _LEET = str.maketrans("013457$@!", "oleastsai")
@@ -82,19 +85,13 @@ def log10_guesses(value: str) -> float:
     ends: dict[int, list[tuple[int, float]]] = {}
     for s, e, cost in _parts(value):
         ends.setdefault(e, []).append((s, cost))
-    # best[k]: (cost, parts) with the last part a match (0) or brute force (1); a part more multiplies by its number
-    inf = (math.inf, 0)
-    match, brute = [inf] * (n + 1), [inf] * (n + 1)
-    match[0] = (0.0, 0)
+    # least cost up to k with the last part a match, or a run of brute-force characters
+    match, brute = [math.inf] * (n + 1), [math.inf] * (n + 1)
+    match[0] = 0.0
     for k in range(1, n + 1):
-        char = math.log10(_class(value[k - 1]))
-        (mc, mp), (bc, bp) = match[k - 1], brute[k - 1]
-        brute[k] = min((mc + char + math.log10(mp + 1), mp + 1), (bc + char, bp))
-        for s, cost in ends.get(k, ()):
-            for c, p in (match[s], brute[s]):
-                if c + cost + math.log10(p + 1) < match[k][0]:
-                    match[k] = (c + cost + math.log10(p + 1), p + 1)
-    return min(match[n][0], brute[n][0])
+        brute[k] = math.log10(_class(value[k - 1])) + min(match[k - 1] + PART, brute[k - 1])
+        match[k] = min((min(match[s], brute[s]) + cost + PART for s, cost in ends.get(k, ())), default=math.inf)
+    return min(match[n], brute[n])
 
 
 def spans(text: str, min_log_guesses: float = 10.0) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -69,11 +69,11 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     payload = F.when(F.col("k") == 1, F.struct("page_id", "host", "path"))
     urls = rows.select(F.pmod(F.xxhash64("rid"), F.lit(salts)).alias("salt"), key.alias("key"), F.lit(1).alias("kind"), "rid", payload.alias("page"))
 
-    edges = boundaries(rules).select(F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long").alias("salt"), F.col("bkey").alias("key"), F.lit(0).alias("kind"), "stack")
+    edges = boundaries(rules).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), F.col("bkey").alias("key"), F.lit(0).alias("kind"), "stack")
     both = urls.unionByName(edges, allowMissingColumns=True)
     sweep = F.expr("last(stack, true) OVER (PARTITION BY salt ORDER BY key, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
     met = both.select("salt", "rid", "kind", "page", sweep.alias("open")).where("kind = 1")
-    best = met.groupBy("salt", "rid").agg(F.first("page", ignorenulls=True).alias("page"), F.collect_list(F.when(F.size("open") > 0, F.element_at("open", -1))).alias("won"))
+    best = met.groupBy("salt", "rid").agg(F.first("page", ignorenulls=True).alias("page"), F.collect_list(F.get("open", F.size("open") - 1)).alias("won"))
     # at most one rule for each label of the deepest rule
     order = F.transform("won", lambda r: F.struct((-r["length"]).alias("l"), (~r["block"]).alias("b"), r["rule"].alias("rule"), r["verdict"].alias("verdict")))
     first = F.get(F.sort_array(order), F.lit(0))
