@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.paths import to_unix_path
 from siltstone.functions.text import count_lines
+from siltstone.plans.lineage import cut
 
 TOP_K, MAX_LAYER = 10, 10
 
@@ -27,14 +28,17 @@ def semantic_top_k(vectors: DataFrame, query: list[float], k: int = TOP_K, id_co
 def relation_tree(edges: DataFrame, roots: DataFrame, max_layer: int = MAX_LAYER) -> DataFrame:
     """CQ-01, JON-10: (root, node, layer) of what the roots reach over (parent, child) edges; each node once, on its first layer.
 
-    One join for each layer.  A node already seen from its root is not visited again, so cycles end.
+    One join for each layer, written to the shared folder, so that a layer is computed once.  A node already seen from its root is not visited
+    again, so cycles end, and an empty layer is the last.
     """
     edges = edges.select("parent", "child").distinct()
-    seen = roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("layer")).distinct()
-    front = seen
+    seen = front = cut(roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("layer")).distinct())
     for layer in range(1, max_layer + 1):
         nxt = front.join(edges, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node")).distinct()
-        front = nxt.join(seen.select(F.col("root").alias("r"), F.col("node").alias("n")), (F.col("root") == F.col("r")) & (F.col("node") == F.col("n")), "left_anti").withColumn("layer", F.lit(layer))
+        known = seen.select(F.col("root").alias("r"), F.col("node").alias("n"))
+        front = cut(nxt.join(known, (F.col("root") == F.col("r")) & (F.col("node") == F.col("n")), "left_anti").withColumn("layer", F.lit(layer)))
+        if not front.take(1):
+            break
         seen = seen.unionByName(front)
     return seen
 

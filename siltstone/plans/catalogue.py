@@ -334,7 +334,7 @@ def hash_diff(spark, d):
     return S.hash_diff(client, server)
 
 
-@query(f"""WITH {_REQ}, f AS (SELECT list_filter(string_split(path, '/'), x -> x <> '') AS p, length(url) AS size FROM req), g AS (SELECT p, size, unnest(range(1, len(p) + 1)) AS depth FROM f)
+@query(f"""WITH {_REQ}, f AS (SELECT list_filter(string_split(path, '/'), lambda x: x <> '') AS p, length(url) AS size FROM req), g AS (SELECT p, size, unnest(range(1, len(p) + 1)) AS depth FROM f)
     SELECT '/' || array_to_string(p[1:depth], '/') AS path, CASE WHEN depth = 1 THEN '/' ELSE '/' || array_to_string(p[1:depth - 1], '/') END AS parent, depth::INTEGER AS depth, bool_or(depth < len(p)) AS is_dir, count(*) AS n_files, sum(size)::BIGINT AS size FROM g GROUP BY 1, 2, 3""")
 def directory_tree(spark, d):
     return S.directory_tree(_requests(spark, d).select("path", F.length("url").alias("size")))

@@ -33,7 +33,7 @@ def cache_stream(events: DataFrame, key: str, ts: str, ttl_seconds: int) -> Data
             state.update((fetched,))
         yield pd.DataFrame({"key": k[0], "at": at.to_numpy(), "hit": hits})
 
-    rows = events.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(ts)).alias("at"))
+    rows = events.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
     out = rows.groupBy("key").applyInPandasWithState(run, "key string, at long, hit boolean", "fetched long", "append", GroupStateTimeout.NoTimeout)
     return out.select("key", F.timestamp_micros("at").alias("ts"), "hit")
 
