@@ -19,12 +19,33 @@ from pyspark.sql import functions as F
 from siltstone.llm.shared import cut
 
 VARIABLE = "<*>"
+#: Bits of the map of documents that a join concerns: at most 2**12 rows of 4 KB are broadcast.  A full map only spares fewer texts the shuffle.
+MAP_BITS = 27
+
+
+def _once(expression: Column) -> Column:
+    """A generator of one row: what it makes is computed once, however often it is used above."""
+    return F.explode(F.array(expression))
+
+
+def _bit(key: Column) -> Column:
+    return F.shiftrightunsigned(key, 64 - MAP_BITS) + 1
+
+
+def _marked(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs with `maybe`: whether dkey may be among keys.wkey; never false for one that is."""
+    parts = keys.groupBy(F.bitmap_bucket_number(_bit(F.col("wkey"))).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(_bit(F.col("wkey")))).alias("bits"))
+    at = F.bitmap_bit_position(_bit(F.col("dkey")))
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.expr("shiftright(byte, CAST(bit % 8 AS INT)) % 2 = 1")
+    joined = docs.join(F.broadcast(parts), F.bitmap_bucket_number(_bit(F.col("dkey"))) == F.col("bucket"), "left").withColumns({"byte": byte, "bit": at})
+    return joined.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("bucket", "bits", "byte", "bit")
 
 
 def _tokens(line: Column) -> Column:
     """Fields with a digit are variable.  The look-behind lets the pattern start at tokens only, so a very long token costs linear time."""
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*", VARIABLE)).otherwise(line)
-    return F.split(F.regexp_replace(masked, r"^\s+|(?<!\s)\s+$", ""), r"\s+")
+    return F.split(F.btrim(masked, F.lit(" \t\r\f\v")), r"\s+")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -35,7 +56,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def line_table(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     """at (doc_id, dkey, pos), leaf and form (hash of the masked tokens) of every line with enough tokens."""
     lines = docs.where("text IS NOT NULL").select("doc_id", "dkey", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.select(F.struct("doc_id", "dkey", "pos").alias("at"), _tokens(F.col("line")).alias("tokens"))
+    lines = lines.select(F.struct("doc_id", "dkey", "pos").alias("at"), _once(_tokens(F.col("line"))).alias("tokens"))
     return lines.where(F.size("tokens") >= min_tokens).select("at", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"), F.xxhash64("tokens").alias("form"))
 
 
@@ -45,7 +66,9 @@ def _generalised(docs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     leaves = forms.groupBy("leaf").agg(F.min(F.struct("at", "form")).getField("form").alias("founder"), F.min("form").alias("lo"), F.max("form").alias("hi")).where("lo <> hi").select(F.col("leaf").alias("l"), "founder")
     wanted = forms.join(leaves, F.col("leaf") == F.col("l")).select(F.col("at.doc_id").alias("wid"), F.col("at.dkey").alias("wkey"), F.struct(F.col("at.pos").alias("pos"), "leaf", "form", "founder").alias("w"))
     wanted = wanted.groupBy("wid", "wkey").agg(F.collect_list("w").alias("ws"))
-    text = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wid")) & (F.col("dkey") == F.col("wkey"))).select(F.split("text", "\n").alias("rows"), "ws")
+    wanted = cut(wanted)
+    some = _marked(docs, wanted).where("maybe")
+    text = some.join(wanted, F.col("doc_id").eqNullSafe(F.col("wid")) & (F.col("dkey") == F.col("wkey"))).select("ws", _once(F.split("text", "\n")).alias("rows"))
     got = text.select(F.inline(F.transform("ws", lambda w: F.struct(w["leaf"].alias("leaf"), w["form"].alias("form"), w["founder"].alias("founder"), F.get("rows", w["pos"]).alias("line")))))
     got = cut(got.dropDuplicates(["leaf", "form"]).select("leaf", "form", "founder", _tokens(F.col("line")).alias("tokens")))
     first = got.where("form = founder").select(F.col("leaf").alias("l"), F.col("tokens").alias("base"))
@@ -70,12 +93,15 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None, **params) -> DataFrame:
     """docs with the recurring lines taken out of text_col; count_col, if given, gets the number of dropped lines.  Columns and rows stay."""
-    gone = recurring_lines(docs, id_col, text_col, **params).select(F.col("doc_id").alias("__id"), F.col("dkey").alias("__key"), F.col("drops").alias("__drops"))
-    text = F.col(text_col).cast("string")
-    key = F.xxhash64(F.col(id_col).cast("long"), text)
-    joined = docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left")
-    rows = F.split(text, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(rows) - 1), F.col("__drops"))
-    new = F.when(F.col("__drops").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(rows, i)), "\n"))
-    out = joined.select(*[new.alias(c) if c == text_col else F.col(c) for c in docs.columns], *([F.coalesce(F.size("__drops"), F.lit(0)).cast("long").alias(count_col)] if count_col else []))
-    return out
+    gone = cut(recurring_lines(docs, id_col, text_col, **params).select(F.col("doc_id").alias("wid"), F.col("dkey").alias("wkey"), "drops"))
+    text = F.col(f"row.{text_col}").cast("string")
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("dkey"))
+    marked = _marked(keyed, gone)
+    rest = marked.where("NOT maybe").select("row", text.alias("text"), F.lit(0).cast("long").alias("n"))
+    hit = marked.where("maybe").join(gone, F.col("doc_id").eqNullSafe(F.col("wid")) & (F.col("dkey") == F.col("wkey")), "left")
+    hit = hit.select("row", "drops", text.alias("text"), _once(F.split(text, "\n")).alias("lines"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops"))
+    new = F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
+    hit = hit.select("row", new.alias("text"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n"))
+    both = rest.unionByName(hit)
+    return both.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns], *([F.col("n").alias(count_col)] if count_col else []))
