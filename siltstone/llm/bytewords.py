@@ -77,8 +77,8 @@ class Chunk:
             return mix((self._sums[ends] - self._sums[starts]) * down[starts])
 
 
-def chunks(texts: pa.Array | pa.ChunkedArray, lower: bool = True) -> Iterator[Chunk]:
-    """Cut a column of strings into chunks of whole texts of about CHUNK_BYTES; a longer text is a chunk of its own."""
+def chunks(texts: pa.Array | pa.ChunkedArray, lower: bool = True, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
+    """Cut a column of strings into chunks of whole texts of about size bytes; a longer text is a chunk of its own."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if isinstance(texts, pa.ChunkedArray):
@@ -92,7 +92,7 @@ def chunks(texts: pa.Array | pa.ChunkedArray, lower: bool = True) -> Iterator[Ch
     data = np.frombuffer(what, np.uint8) if what is not None else np.zeros(0, np.uint8)
     row = 0
     while row < len(texts):
-        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, "right")) - 1)
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
         stop = min(stop, len(texts))
         yield Chunk(data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row], row, lower)
         row = stop

@@ -27,25 +27,38 @@ from siltstone.llm.bytewords import _ROOT, _TABLE, CHUNK_BYTES, _powers, chunks,
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
 #: Words up to so many bytes are filtered together, a position at a time; longer ones one by one.
-TOGETHER = 64
-_FILTER_BITS = 20
+TOGETHER = 40
+SCALE = 1000.0
+_SLOT_BITS = 20
+#: Bytes of text that are encoded together; a longer text is taken by itself.
+TOGETHER_BYTES = 1 << 20
+
+
+def _sums(data: np.ndarray) -> np.ndarray:
+    up, _ = _powers(max(CHUNK_BYTES, 1 << max(0, len(data) - 1).bit_length()))
+    out = np.zeros(len(data) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(_TABLE[data] * up[: len(data)], out=out[1:])
+    return out
 
 
 def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = _powers(max(CHUNK_BYTES, 1 << max(0, len(data) - 1).bit_length()))
+    _, down = _powers(max(CHUNK_BYTES, 1 << max(0, len(data) - 1).bit_length()))
+    sums = _sums(data)
     with np.errstate(over="ignore"):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_TABLE[data] * up[: len(data)])])
         return (sums[ends] - sums[starts]) * down[starts]
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (h * np.uint64(_ROOT)) >> np.uint64(64 - _FILTER_BITS)
+        return (h * np.uint64(_ROOT)) >> np.uint64(64 - _SLOT_BITS)
 
 
 @dataclass
 class Pieces:
-    """The vocabulary as arrays: piece bytes, lengths and scores; sorted piece hashes; a filter over them; ids of the byte pieces."""
+    """The vocabulary as arrays: piece bytes, lengths and scores; piece hashes with a chained hash table; ids of the byte pieces; weights times SCALE
+    for each byte, which keeps the sums of words up to TOGETHER bytes within a double, or none at low temperatures.
+    """
 
     blob: np.ndarray
     bounds: np.ndarray
@@ -53,8 +66,10 @@ class Pieces:
     keys: np.ndarray
     ids: np.ndarray
     lengths: np.ndarray
-    filter: np.ndarray
+    heads: np.ndarray
+    following: np.ndarray
     byte_ids: np.ndarray
+    scaled: np.ndarray | None
 
 
 def load(model: str = MODEL, temperature: float = 1.0) -> Pieces:
@@ -85,13 +100,14 @@ def load(model: str = MODEL, temperature: float = 1.0) -> Pieces:
     scores = np.where(_is_byte(byte_ids, size), -np.log(2.0 * size), scores) / temperature
     blob, bounds = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     hashes = _hash(blob, bounds[:-1], bounds[1:])[usable]
-    order = np.argsort(hashes)
-    keys = hashes[order]
-    if (keys[1:] == keys[:-1]).any():
+    if len(np.unique(hashes)) < len(hashes):
         raise ValueError("two pieces have the same hash")
-    marks = np.zeros(1 << _FILTER_BITS, bool)
-    marks[_slot(keys).astype(np.int64)] = True
-    return Pieces(blob, bounds, scores, keys, usable[order], np.diff(bounds), marks, byte_ids)
+    heads, following = np.full(1 << _SLOT_BITS, -1, np.int32), np.full(len(hashes), -1, np.int32)
+    for k, slot in enumerate(_slot(hashes).astype(np.int64)):
+        following[k], heads[slot] = heads[slot], k
+    lengths = np.diff(bounds)
+    scaled = np.exp(scores + np.log(SCALE) / temperature * np.maximum(lengths, 1)) if temperature >= 0.5 else None
+    return Pieces(blob, bounds, scores, hashes, usable, lengths, heads, following, byte_ids, scaled)
 
 
 def _is_byte(byte_ids: np.ndarray, size: int) -> np.ndarray:
@@ -100,97 +116,103 @@ def _is_byte(byte_ids: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _edges(p: Pieces, data: np.ndarray, bounds: np.ndarray):
-    """(source byte, end byte, piece) of every piece in the words data[bounds[k]:bounds[k+1]], ordered by word and end."""
-    word = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    last = bounds[1:][word]
-    up, down = _powers(max(CHUNK_BYTES, 1 << max(0, len(data) - 1).bit_length()))
-    src, end, ids = [], [], []
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_TABLE[data] * up[: len(data)])])
-        for n in np.unique(p.lengths[p.ids]):
-            if n > len(data):
-                break
-            h = (sums[n:] - sums[:-n]) * down[: len(data) - n + 1]
-            at = np.flatnonzero(p.filter[_slot(h).astype(np.int64)])
-            at = at[at + n <= last[at]]
-            k = np.searchsorted(p.keys, h[at])
-            k = np.minimum(k, len(p.keys) - 1)
-            hit = p.keys[k] == h[at]
-            at, k = at[hit], p.ids[k[hit]]
-            right = p.lengths[k] == n
-            src.append(at[right])
-            end.append(at[right] + n)
-            ids.append(k[right])
-    # Characters that are no piece of their own go byte by byte.
+@dataclass
+class Lattice:
+    """The lattices of the words data[bounds[k]:bounds[k+1]].  Byte b of word k is node b + k, its end one more.
+
+    The edges into node v are firsts[v]:firsts[v + 1], with their source nodes and pieces.  total: of a word up to TOGETHER bytes the summed, scaled
+    weights of all segmentations up to a node; of a longer one their logarithm.
+    """
+
+    base: np.ndarray
+    length: np.ndarray
+    firsts: np.ndarray
+    src: np.ndarray
+    ids: np.ndarray
+    total: np.ndarray
+
+
+def _matches(p: Pieces, data: np.ndarray, bounds: np.ndarray):
+    """(source bytes, piece length, pieces) for each length, longest first, and last the bytes of characters that are no piece."""
+    size = np.diff(bounds)
+    room = np.repeat(bounds[1:], size) - np.arange(len(data))
+    _, down = _powers(max(CHUNK_BYTES, 1 << max(0, len(data) - 1).bit_length()))
+    sums = _sums(data)
+    out, at = [], np.arange(len(data))
     lead = np.flatnonzero((data & 0xC0) != 0x80)
-    width = np.diff(np.append(lead, len(data)))
-    width_at = np.zeros(len(data), np.int64)
-    width_at[lead] = width
+    width = np.zeros(len(data), np.int64)
+    width[lead] = np.diff(np.append(lead, len(data)))
     covered = np.zeros(len(data), bool)
-    for s, e in zip(src, end, strict=True):
-        single = e - s == width_at[s]
-        covered[s[single]] = True
-    bare = np.repeat(~covered[lead], width)
-    first = int(lead[0]) if len(lead) else 0
-    at = np.flatnonzero(bare) + first
-    src.append(at)
-    end.append(at + 1)
-    ids.append(p.byte_ids[data[at]])
-    src, end, ids = np.concatenate(src), np.concatenate(end), np.concatenate(ids)
-    return src, end, ids, word
-
-
-def _filtered(p: Pieces, data: np.ndarray, bounds: np.ndarray):
-    """Backward tables: for each node (word k's byte b is node b + k) its first and last edge; the edges' sources, pieces and cumulated chances."""
-    src, end, ids, word = _edges(p, data, bounds)
-    w = word[src]
-    src, end = src + w, end + w  # nodes: a word of n bytes has n + 1
-    order = np.argsort(end, kind="stable")
-    src, end, ids, w = src[order], end[order], ids[order], w[order]
-    nodes = len(data) + len(bounds) - 1
-    base = bounds[:-1] + np.arange(len(bounds) - 1)
-    total = np.full(nodes, -np.inf)
-    total[base] = 0.0
-    score = p.scores[ids]
-    place = end - base[w]
+    for n in np.unique(p.lengths[p.ids]):
+        at = at[room[at] >= n]
+        if not len(at):
+            break
+        with np.errstate(over="ignore"):
+            h = (sums[at + n] - sums[at]) * down[at]
+        k = p.heads[_slot(h).astype(np.int64)]
+        tried = np.flatnonzero(k >= 0)
+        src, ids = [], []
+        while len(tried):
+            same = p.keys[k[tried]] == h[tried]
+            hit = tried[same]
+            src.append(at[hit])
+            ids.append(p.ids[k[hit]])
+            k[tried] = p.following[k[tried]]
+            tried = tried[~same]
+            tried = tried[k[tried] >= 0]
+        if src:
+            src, ids = np.concatenate(src), np.concatenate(ids)
+            covered[src[width[src] == n]] = True
+            out.append((src, n, ids))
+    bare = np.flatnonzero(np.repeat(~covered[lead], width[lead]))
+    return [*out[::-1], (bare, 1, p.byte_ids[data[bare]])]
+
+
+def _filtered(p: Pieces, data: np.ndarray, bounds: np.ndarray) -> Lattice:
+    """Forward filtering of all words at once, a position at a time; of longer words one by one, in logarithms."""
     length = np.diff(bounds)
-    together = length[w] <= TOGETHER
-    by_place = np.flatnonzero(together)
-    by_place = by_place[np.argsort(place[by_place], kind="stable")]
-    cuts = np.searchsorted(place[by_place], np.arange(1, TOGETHER + 2))
-    for k in range(TOGETHER):
-        e = by_place[cuts[k] : cuts[k + 1]]
-        if not len(e):
-            continue
-        value = total[src[e]] + score[e]
-        heads = np.flatnonzero(np.concatenate([[True], end[e][1:] != end[e][:-1]]))
-        top = np.maximum.reduceat(value, heads)
-        top = np.where(np.isfinite(top), top, 0.0)
-        share = np.exp(value - np.repeat(top, np.diff(np.append(heads, len(e)))))
-        with np.errstate(divide="ignore"):
-            total[end[e][heads]] = top + np.log(np.add.reduceat(share, heads))
-    if not together.all():
-        firsts = np.searchsorted(end, np.arange(nodes + 1))
-        for k in np.flatnonzero(length > TOGETHER):
-            for node in range(int(base[k]) + 1, int(base[k]) + int(length[k]) + 1):
-                a, b = firsts[node], firsts[node + 1]
-                if a < b:
-                    value = total[src[a:b]] + score[a:b]
-                    top = value.max()
-                    if np.isfinite(top):
-                        total[node] = top + np.log(np.exp(value - top).sum())
-    with np.errstate(invalid="ignore"):
-        chance = np.exp(total[src] + score - total[end])
-    chance = np.nan_to_num(chance)
-    firsts = np.searchsorted(end, np.arange(nodes + 1))
-    run = np.concatenate([[0.0], np.cumsum(chance)])
-    inside = run[1:] - run[firsts[end]]
-    return base, length, firsts, src, ids, np.maximum.accumulate(end + np.minimum(inside, 1.0))
-
-
-def _uniform(key: np.ndarray) -> np.ndarray:
-    return (mix(key) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    word = np.repeat(np.arange(len(length)), length)
+    base = bounds[:-1] + np.arange(len(length))
+    nodes = len(data) + len(length)
+    found = [(src + word[src], n, ids) for src, n, ids in _matches(p, data, bounds)]
+    degree = np.zeros(nodes, np.int64)
+    for src, n, _ in found:
+        degree[src + n] += 1  # one edge of each length ends at a node
+    firsts = np.concatenate([[0], np.cumsum(degree)])
+    place = firsts[:-1].copy()
+    sources, pieces = np.zeros(firsts[-1], np.int32), np.zeros(firsts[-1], np.int32)
+    for src, n, ids in found:
+        at = place[src + n]
+        sources[at], pieces[at] = src, ids
+        place[src + n] += 1
+    del found, place
+    total = np.zeros(nodes)
+    together = TOGETHER if p.scaled is not None else 0
+    short = np.flatnonzero(length <= together)
+    short = short[np.argsort(-length[short], kind="stable")]
+    total[base[short]] = 1.0
+    for k in range(1, int(length[short].max(initial=0)) + 1):
+        at = base[short[: np.searchsorted(-length[short], -k, "right")]] + k
+        edge, n = firsts[at], degree[at]
+        acc = np.zeros(len(at))
+        for j in range(int(n.max(initial=0))):
+            on = np.flatnonzero(n > j)
+            e = edge[on] + j
+            acc[on] += total[sources[e]] * p.scaled[pieces[e]]
+        total[at] = acc
+    for k in np.flatnonzero(length > together):
+        total[base[k] : base[k] + length[k] + 1] = -np.inf
+        total[base[k]] = 0.0
+        for node in range(int(base[k]) + 1, int(base[k]) + int(length[k]) + 1):
+            a, b = firsts[node], firsts[node + 1]
+            if a < b and np.isfinite(top := (value := total[sources[a:b]] + p.scores[pieces[a:b]]).max()):
+                total[node] = top + np.log(np.exp(value - top).sum())
+    return Lattice(base, length, firsts, sources, pieces, total)
+
+
+def _uniform(key: np.ndarray, step: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mix(key + np.uint64(step + 1) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
 def sample(p: Pieces, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,23 +234,41 @@ def sample(p: Pieces, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -
     size = (ends - starts)[first]
     bounds = np.concatenate([[0], np.cumsum(size)])
     flat = text[np.arange(bounds[-1]) + np.repeat(starts[first] - bounds[:-1], size)]
-    base, length, firsts, src, ids, chances = _filtered(p, flat, bounds)
+    x = _filtered(p, flat, bounds)
 
     owner = np.searchsorted(heads, starts, "right") - 1
     nth = np.arange(len(starts)) - np.searchsorted(starts, heads)[owner]
     with np.errstate(over="ignore"):
         random = mix(keys[some][owner] ^ mix(nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)))
-    occ, node, goal = np.arange(len(starts)), (base + length)[word], base[word]
-    steps, t = [], 0
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    goal, end = x.base[word], (x.base + x.length)[word]
+    scaled = x.length[word] <= (TOGETHER if p.scaled is not None else 0)
+    occ, t = np.flatnonzero(scaled), 0
+    node = end[occ]
     while len(occ):
-        with np.errstate(over="ignore"):
-            u = _uniform(random[occ] + np.uint64(t + 1) * np.uint64(0xD1342543DE82EF95))
-        edge = np.searchsorted(chances, node + u, "right")
-        edge = np.clip(edge, firsts[node], firsts[node + 1] - 1)
-        steps.append((occ, ids[edge]))
-        node = src[edge]
+        edge, last = x.firsts[node], x.firsts[node + 1] - 1
+        left = _uniform(random[occ], t) * x.total[node]
+        left -= x.total[x.src[edge]] * p.scaled[x.ids[edge]]
+        on = np.flatnonzero((left >= 0) & (edge < last))
+        while len(on):  # to the first edge whose cumulated weight exceeds the drawn one
+            edge[on] += 1
+            e = edge[on]
+            left[on] -= x.total[x.src[e]] * p.scaled[x.ids[e]]
+            on = on[(left[on] >= 0) & (e < last[on])]
+        steps.append((occ, x.ids[edge]))
+        node = x.src[edge]
         open_ = node != goal[occ]
         occ, node, t = occ[open_], node[open_], t + 1
+    for o in np.flatnonzero(~scaled):
+        v, t = int(end[o]), 0
+        while v != goal[o]:
+            a, b = x.firsts[v], x.firsts[v + 1]
+            chance = np.cumsum(np.exp(x.total[x.src[a:b]] + p.scores[x.ids[a:b]] - x.total[v]))
+            e = a + min(int(np.searchsorted(chance, _uniform(random[o : o + 1], t)[0], "right")), b - a - 1)
+            while len(steps) <= t:
+                steps.append((np.zeros(0, np.int64), np.zeros(0, np.int32)))
+            steps[t] = (np.append(steps[t][0], o), np.append(steps[t][1], x.ids[e]))
+            v, t = int(x.src[e]), t + 1
     count = np.zeros(len(starts), np.int64)
     for o, _ in steps:
         count[o] += 1
@@ -256,17 +296,28 @@ def unpiece(p: Pieces, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
 def encode(docs: DataFrame, model: str = MODEL, seed: int = 0, temperature: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_pieces, pieces): one row for each row of docs, sampled by its id."""
     shared = docs.sparkSession.sparkContext.broadcast(load(model, temperature))  # as large as the vocabulary
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.lit(seed), F.col(id_col).cast("long")).alias("key"))
-
     def run(batches):
         for batch in batches:
-            keys = batch.column("key").to_numpy().view(np.uint64)
-            for chunk in chunks(batch.column("text"), lower=False):
-                a, n = chunk.first_row, chunk.rows
-                ids, bounds = sample(shared.value, chunk.raw, chunk.offsets, keys[a : a + n])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, n), batch.column("text").slice(a, n), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))], ["doc_id", "text", "n_pieces", "pieces"])
+            for a, n, ids, bounds, _, _ in _sampled(shared.value, batch):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, n), batch.column("text").slice(a, n), pa.array(np.diff(bounds)), _lists(ids, bounds)], ["doc_id", "text", "n_pieces", "pieces"])
+
+    return _keyed(docs, seed, id_col, text_col).mapInArrow(run, "doc_id long, text string, n_pieces long, pieces array<int>")
+
+
+def _keyed(docs: DataFrame, seed: int, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.lit(seed), F.col(id_col).cast("long")).alias("key"))
 
-    return rows.mapInArrow(run, "doc_id long, text string, n_pieces long, pieces array<int>")
+
+def _sampled(p: Pieces, batch: pa.RecordBatch):
+    """For each chunk of a batch: first row, rows, piece ids and their bounds, text bytes and their offsets."""
+    keys = batch.column("key").to_numpy().view(np.uint64)
+    for chunk in chunks(batch.column("text"), lower=False, size=TOGETHER_BYTES):
+        ids, bounds = sample(p, chunk.raw, chunk.offsets, keys[chunk.first_row : chunk.first_row + chunk.rows])
+        yield chunk.first_row, chunk.rows, ids, bounds, chunk.raw, chunk.offsets
+
+
+def _lists(ids: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
 
 
 def decode(rows: DataFrame, model: str = MODEL, pieces_col: str = "pieces", out: str = "decoded") -> DataFrame:
@@ -287,9 +338,18 @@ def decode(rows: DataFrame, model: str = MODEL, pieces_col: str = "pieces", out:
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))
 
 
-def round_trip(docs: DataFrame, **params) -> DataFrame:
-    """(doc_id, n_pieces, pieces, lossless): encoded, decoded again and compared with the text."""
-    model = params.get("model", MODEL)
-    got = decode(encode(docs, **params), model)
-    return got.select("doc_id", "n_pieces", "pieces", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+def round_trip(docs: DataFrame, model: str = MODEL, seed: int = 0, temperature: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_pieces, pieces, lossless): encoded, decoded from the ids again and compared with the text, in one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(load(model, temperature))
 
+    def run(batches):
+        for batch in batches:
+            for a, n, ids, bounds, raw, offsets in _sampled(shared.value, batch):
+                data, cuts = unpiece(shared.value, ids.astype(np.int32).astype(np.int64), bounds)
+                if len(data) == len(raw) and (cuts == offsets).all():
+                    wrong = np.bincount(np.searchsorted(offsets, np.flatnonzero(data != raw), "right") - 1, minlength=n)[:n]
+                else:
+                    wrong = np.array([data[cuts[k] : cuts[k + 1]].tobytes() != raw[offsets[k] : offsets[k + 1]].tobytes() for k in range(n)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, n), pa.array(np.diff(bounds)), _lists(ids, bounds), pa.array(wrong == 0)], ["doc_id", "n_pieces", "pieces", "lossless"])
+
+    return _keyed(docs, seed, id_col, text_col).mapInArrow(run, "doc_id long, n_pieces long, pieces array<int>, lossless boolean")
