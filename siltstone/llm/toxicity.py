@@ -23,8 +23,8 @@ from siltstone.llm.shared import keyed_text
 
 #: Documented bound of the labelled sample, and of what the driver gets of each of its rows.
 MAX_TRAIN = 40_000
-MAX_FEATURES = 4096
-BITS, FOLDS, PREFIXES, LEAST_Z = 18, 5, (4, 5, 6), 3.5
+MAX_FEATURES = 2048
+BITS, FOLDS, PREFIXES, LEAST_Z = 18, 5, (4, 5, 6), 6.0
 CATEGORIES = ("insult", "contempt", "toxic")
 
 # Words of the weak labels.
@@ -90,7 +90,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _logistic(rows, cols, extra, y, m, rounds=150, ridge=1e-4, rate=0.3):
+def _logistic(rows, cols, extra, y, m, rounds=80, ridge=1e-4, rate=0.3):
     """Full-batch Adam on the mean log loss; deterministic."""
     w, bias = np.zeros(m + extra.shape[1]), float(np.log((y.mean() + 1e-4) / (1 - y.mean() + 1e-4)))
     m1, m2, b1, b2, n = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0.9, 0.999, len(y)
