@@ -86,6 +86,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = cut(named)
     each = named.groupBy("template", F.col("at.doc_id").alias("doc_id"), F.col("at.dkey").alias("dkey")).agg(F.min("at").alias("first"))
     often = each.groupBy("template").agg(F.count("*").alias("n_docs"), F.min("first").alias("first")).where(F.col("n_docs") >= min_docs).select(F.col("template").alias("t"), "first")
+    often = cut(often)  # the join below then deals both sides itself and can split a template with very many lines
     # the first line of a document with a null id: compared null-safe
     drops = named.join(often, F.col("template") == F.col("t")).where(~F.col("at").eqNullSafe(F.col("first")))
     return drops.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.dkey").alias("dkey")).agg(F.collect_set("at.pos").alias("drops"))
