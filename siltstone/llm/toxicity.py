@@ -6,7 +6,8 @@ as unsure as they will be on new texts.  `toxic` is the labelled column; insult
 fixed list.  The models are fitted on at most MAX_TRAIN labelled rows (those of the smallest hash of doc_id); all rows are scored.
 
 Rows: a null or empty text has no feature and is never toxic.  Several labels of one doc_id count as their maximum, null labels not at all.
-Equal rows get equal scores.  Without a toxic and a clean labelled row, every probability is 0.  Other columns stay as they are.
+Equal rows get equal scores.  A feature is kept that is in LEAST_ROWS labelled rows and whose |z| reaches LEAST_Z or, on a small table, half of
+sqrt(labelled rows), the largest |z| there can be.  Without a toxic and a clean labelled row, every probability is 0.  Other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from siltstone.llm.shared import keyed_text
 
 #: Documented bound of the labelled sample, and of what the driver gets of each of its rows.
 MAX_TRAIN = 40_000
-MAX_FEATURES = 2048
-BITS, FOLDS, PREFIXES, LEAST_Z = 18, 5, (4, 5, 6), 6.0
+MAX_FEATURES = 4096
+BITS, FOLDS, PREFIXES, LEAST_Z, LEAST_ROWS = 18, 5, (4, 5, 6), 3.5, 3
 CATEGORIES = ("insult", "contempt", "toxic")
 
 # Words of the weak labels.
@@ -90,14 +91,30 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _logistic(rows, cols, extra, y, m, rounds=80, ridge=1e-4, rate=0.3):
-    """Full-batch Adam on the mean log loss; deterministic."""
+def _sums(groups: np.ndarray, size: int):
+    """A function that sums values by their sorted groups; several times faster than bincount."""
+    starts = np.flatnonzero(np.diff(groups, prepend=-1))
+    held = groups[starts]
+
+    def of(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(size)
+        if len(starts):
+            out[held] = np.add.reduceat(values, starts)
+        return out
+
+    return of
+
+
+def _logistic(rows, cols, extra, y, m, rounds=150, ridge=1e-4, rate=0.3):
+    """Full-batch Adam on the mean log loss; deterministic.  rows are sorted."""
+    order = np.argsort(cols.astype(np.uint16), kind="stable")
+    by_col, by_row, at = _sums(cols[order], m), _sums(rows, len(y)), rows[order]
     w, bias = np.zeros(m + extra.shape[1]), float(np.log((y.mean() + 1e-4) / (1 - y.mean() + 1e-4)))
     m1, m2, b1, b2, n = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0.9, 0.999, len(y)
     for t in range(1, rounds + 1):
-        p = _sigmoid(bias + np.bincount(rows, w[cols], n) + extra @ w[m:])
+        p = _sigmoid(bias + by_row(w[cols]) + extra @ w[m:])
         g = (p - y) / n
-        grad = np.concatenate([np.bincount(cols, g[rows], m) + ridge * w[:m], extra.T @ g + ridge * w[m:], [g.sum()]])
+        grad = np.concatenate([by_col(g[at]) + ridge * w[:m], extra.T @ g + ridge * w[m:], [g.sum()]])
         m1, m2 = b1 * m1 + (1 - b1) * grad, b2 * m2 + (1 - b2) * grad**2
         step = rate / (1 + t / 50) * (m1 / (1 - b1**t)) / (np.sqrt(m2 / (1 - b2**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
@@ -134,8 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     a, b = totals.n0.to_numpy() / n0, totals.n1.to_numpy() / n1
     p = (totals.n0 + totals.n1).to_numpy() / (n0 + n1)
     z = (b - a) / np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1) + 1e-12)
-    best = np.argsort(-np.abs(z), kind="stable")[:MAX_FEATURES]
-    best = np.sort(totals.f.to_numpy()[best[np.abs(z[best]) >= LEAST_Z]])
+    fit_for = np.flatnonzero(((totals.n0 + totals.n1).to_numpy() >= LEAST_ROWS) & (np.abs(z) >= min(LEAST_Z, np.sqrt(n0 + n1) / 2)))
+    best = np.sort(totals.f.to_numpy()[fit_for[np.argsort(-np.abs(z[fit_for]), kind="stable")[:MAX_FEATURES]]])
     if not len(best):
         return nothing
     selected = np.full(1 << BITS, -1, np.int32)

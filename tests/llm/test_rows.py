@@ -297,3 +297,20 @@ def test_toxicity_of_odd_rows(spark):
     assert X.score(docs, X.fit(docs, labels)).count() == len(ODD)
     assert X.score(docs, X.fit(docs, labels.limit(0))).where("toxic = 1").count() == 0
     assert X.score(docs.limit(0), X.fit(docs.limit(0), labels)).count() == 0
+
+
+def test_a_small_label_table_is_learned(spark):
+    """The largest |z| there can be is sqrt(labelled rows): 24 rows can't pass a cut-off made for thousands."""
+    docs = spark.createDataFrame([(k, f"plain words of row number{k} " + ("grobian" if k % 3 == 0 else "nothing")) for k in range(36)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(24)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["toxic"] for r in X.score(docs, X.fit(docs, labels)).collect()}
+    assert got == {k: int(k % 3 == 0) for k in range(36)}
+
+
+def test_held_out_recall(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = labels.where(F.pmod(F.xxhash64("doc_id", F.lit("test")), F.lit(4)) == 0)
+    chain = X.fit(docs, labels.join(held, "doc_id", "left_anti"))
+    got = X.score(docs, chain).join(held.where("toxic = 1").select("doc_id"), "doc_id").collect()
+    assert len(got) == 13 and sum(r["toxic"] for r in got) >= 9
