@@ -129,3 +129,36 @@ def test_every_planted_passage_is_found(spark, sf):
                 hits[item] = hits.get(item, 0) + 1
         want |= {r["doc_id"] for (_, n), h in hits.items() if h >= 0.6 * n}
     assert want <= {r["doc_id"] for r in contaminated(docs, items).collect()}
+
+
+MARIA = "Maria has 12 apples in her basket. Maria gives 5 apples to Tom. Maria then buys 7 more apples. How many apples does Maria have left?"
+
+
+def found(spark, texts, items):
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    return docs, bench, sorted(((r["doc_id"], r["item_id"], r["kind"], r["n_matched"], r["n_windows"]) for r in contaminated(docs, bench).collect()), key=repr)
+
+
+def test_names_that_open_sentences(spark):
+    other = MARIA.replace("Maria", "John").replace("Tom", "Anna").replace("12", "30").replace("5", "8").replace("7", "9")
+    got = found(spark, [(1, MARIA), (2, other), (3, MARIA.lower())], [(1, MARIA)])[2]
+    assert {(i, kind) for i, _, kind, _, _ in got} >= {(1, "exact"), (2, "reparameterised")}
+    assert all(m == n for i, _, _, m, n in got if i < 3)
+
+
+def test_new_numbers_may_coincide(spark):
+    same = MARIA.replace("12", "30").replace("5", "8").replace("7", "8")
+    assert [x[:3] for x in found(spark, [(1, same)], [(1, MARIA)])[2]] == [(1, 1, "reparameterised")]
+
+
+def test_one_other_value_costs_its_windows_only(spark):
+    tail = MARIA.replace("does Maria have", "does Peter have")
+    ((i, _, _, matched, whole),) = found(spark, [(1, tail)], [(1, MARIA)])[2]
+    assert i == 1 and whole / 2 <= matched < whole
+
+
+def test_rows_and_items_without_ids(spark):
+    other = BENCH[1][1]
+    docs, bench, got = found(spark, [(None, MARIA), (None, "clean words"), (None, other), (4, "clean too")], [(None, MARIA), (2, other)])
+    assert [x[:3] for x in got] == [(None, 2, "exact"), (None, None, "exact")]
+    assert sorted(r["text"] for r in decontaminate(docs, bench).collect()) == ["clean too", "clean words"]
