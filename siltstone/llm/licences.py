@@ -66,6 +66,9 @@ RULES = (
     ("MIT", "mit-grant-only", ("mit.grant",)),
     ("Apache-2.0", "apache-header", ("note:Apache-2.0", "apache.comply", "apache.copy", "apache.asis")),
     ("Apache-2.0", "apache-comply", ("note:Apache-2.0", "apache.comply")),
+    ("Apache-2.0", "apache-terms", ("apache.comply", "apache.copy", "apache.asis")),
+    ("Apache-2.0", "apache-comply-only", ("apache.comply",)),
+    ("Apache-2.0", "apache-asis", ("apache.asis",)),
     ("GPL-3.0", "gpl-header", ("gpl.free", "gpl.hope")),
     ("GPL-3.0", "gpl-free", ("gpl.free",)),
     ("BSD-3-Clause", "bsd3-text", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.endorse")),
@@ -100,7 +103,8 @@ def book() -> Book:
         for name in names:
             for opening in OPENINGS:
                 for article in ("", "the "):
-                    known[normal(f"{opening} {article}{name}")] = f"note:{licence}"
+                    for short in ("", ' (the "License")'):
+                        known[normal(f"{opening} {article}{name}{short}")] = f"note:{licence}"
     rules: dict[str, list] = {}
     for rule in (*RULES, *((licence, "note", (f"note:{licence}",)) for licence in NAMES)):
         rules.setdefault(rule[2][0], []).append(rule)
@@ -113,7 +117,7 @@ def matches(text: str, b: Book, gap: int = 1) -> list[tuple[str, str, int, int]]
     low = text.lower()
     if not any(h in low for h in HINTS):
         return []
-    pieces = [(normal(m[0]), m) for m in _CUT.finditer(text)]
+    pieces = [(n, m) for m in _CUT.finditer(text) if (n := normal(m[0]))]  # a bare comment mark is no sentence
     found, k = [], 0  # (first piece, last piece, identifier, start, end)
     while k < len(pieces):
         so_far, best, j = "", None, k

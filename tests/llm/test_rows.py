@@ -176,6 +176,36 @@ def test_every_known_sentence_has_a_hint():
     assert all(any(h in s for h in L.HINTS) for s in L.book().known)
 
 
+APACHE = """Copyright 2020 Foo
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+
+
+def test_the_apache_header():
+    b, terms = L.book(), APACHE[APACHE.index("you may not") :]
+    for text, rule in ((APACHE, "apache-header"), ("\n".join(f"# {x}".rstrip() for x in APACHE.split("\n")), "apache-header"), (terms, "apache-terms"), (terms[: terms.index("You may obtain")], "apache-comply-only"), (terms[terms.index("Unless") :], "apache-asis")):
+        assert [m[:2] for m in L.matches(text, b)] == [("Apache-2.0", rule)]
+
+
+def test_every_rule_fires_on_its_wrapped_text():
+    b = L.book()
+    for licence, rule, names in L.RULES:
+        whole = ["Licensed under the Apache License, Version 2.0 (the \"License\");" if n.startswith("note:") else L.SENTENCES[n] for n in names]
+        text = "\n * ".join(" ".join(w) for x in whole for w in (x.split()[k : k + 9] for k in range(0, len(x.split()), 9)))
+        assert [m[:2] for m in L.matches("/* " + text + "\n */", b)] == [(licence, rule)]
+
+
 # --- media ---
 
 def test_media(spark):
