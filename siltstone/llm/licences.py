@@ -78,8 +78,9 @@ RULES = (
     ("Proprietary", "reserved", ("reserved",)),
 )
 
-#: A text without any of these, in lower case, has no known sentence: each known sentence has one (a test holds that).
-HINTS = ("licens", "rights reserved", "permission", "warrant", "redistribut", "public domain", "released", "distributed", "available", "published")
+#: A text without any of these, in lower case, has no known sentence: each known sentence has one (a test holds that).  Each is part of
+#: one word, so line ends and spacing can't hide it.
+HINTS = ("licens", "reserved", "permission", "warrant", "redistribut", "domain", "released", "distributed", "available", "published")
 _CUT = re.compile(r"[^\n.!?;:]+(?:[.!?;:](?!\s|$)[^\n.!?;:]*)*[.!?;:]*")
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 

@@ -206,6 +206,14 @@ def test_every_rule_fires_on_its_wrapped_text():
         assert [m[:2] for m in L.matches("/* " + text + "\n */", b)] == [(licence, rule)]
 
 
+@pytest.mark.parametrize("gap", ["\n", "  ", "\t", "\u00a0", "\n * "])
+def test_hints_do_not_hang_on_spacing(gap):
+    b = L.book()
+    assert [m[1] for m in L.matches(f"Copyright 2020 Foo. All rights{gap}reserved.", b)] == ["reserved"]
+    assert [m[1] for m in L.matches(L.SENTENCES["public.domain"].replace(" ", gap), b)] == ["public-domain"]
+    assert not any(re.search(r"\W", h) for h in L.HINTS)
+
+
 # --- media ---
 
 def test_media(spark):
