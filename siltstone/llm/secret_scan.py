@@ -7,7 +7,8 @@ tells random secrets from place holders such as "changeme2024".
 
 Spans are code points, end exclusive.  A base span is the whole match, a `guess` span the value.  Base matches are leftmost and non-overlapping per
 kind, and those that fail their length are dropped after matching.  Rows: a null text counts as empty; an empty text has no span.  Equal
-rows give equal results.  The cost is linear in the text; a value of any length is read whole.  Other columns are ignored.
+rows give equal results.  The cost is linear in the text; a value of any length is read whole, up to its
+closing quote on the line if it opens with one, else up to a space, quote, comma, semicolon, < or >.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so this is the run pattern with its length test
 CONTEXT = re.compile(
-    r"""(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|client)[_-]?(?:key|secret)|credentials?|bearer|login)["']?[\x20\t]{0,8}(?:[:=]|\bis\b)[\x20\t]{0,8}["']?([^\s"'<>,;]{6,})|://[^\s/:@]+:([^\s/@"'<>]{6,})@""",
+    r"""(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|client)[_-]?(?:key|secret)|credentials?|bearer|login)["']?[\x20\t]{0,8}(?:[:=]|\bis\b)[\x20\t]{0,8}(?:"((?:[^"\\\n]|\\[^\n]){6,}+)"|'((?:[^'\\\n]|\\[^\n]){6,}+)'|["']?([^\s"'<>,;]{6,}))|://[^\s/:@]+:([^\s/@"'<>]{6,})@""",
     re.ASCII,
 )
 #: A text without any of these, in lower case, has no assign or context match.
@@ -101,10 +102,14 @@ def spans(text: str, min_log_guesses: float = 10.0) -> tuple[list[tuple[int, int
     hints = any(h in low for h in _HINTS)
     if hints:
         base += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
-        for m in CONTEXT.finditer(text):
-            g = 1 if m[1] is not None else 2
-            if log10_guesses(m[g]) >= min_log_guesses:
+        at = done = 0
+        while m := CONTEXT.search(text, at):
+            g = m.lastindex
+            # a quoted value may hold a context whose value goes on behind it
+            at = m.start(g) if g <= 2 else m.end()
+            if m.end(g) > done and log10_guesses(m[g]) >= min_log_guesses:
                 more.append((m.start(g), 3, m.end(g)))
+                done = m.end(g)
     if "AKIA" in text:
         base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]

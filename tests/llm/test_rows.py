@@ -161,6 +161,21 @@ def test_guesses_are_least_over_all_segmentations(value):
     assert abs(S.log10_guesses(value) - brute_guesses(value)) < 1e-9
 
 
+@pytest.mark.parametrize("value", ["xK9,mQ2;vL7!pR4", "blue horse battery staple", "correct horse battery staple", 'a\\"b9 <Kq>7z, x'])
+def test_a_quoted_value_is_read_whole(value):
+    text = f'x password = "{value}", and more'
+    at = text.index(value)
+    assert S.spans(text)[1] == [(at, 3, at + len(value))]
+    assert S.spans(f"x password = '{value}'; more")[1] == [(at, 3, at + len(value))]
+
+
+def test_an_unclosed_quote_hides_no_value():
+    text = 'password: "short, so token: "Zx9.kQ77vLp2wR" end\nsecret: "changeme'
+    at = text.index("Zx9")
+    assert (at, 3, at + 14) in S.spans(text)[1]
+    assert S.spans('passphrase: "changeme2024"')[1] == []
+
+
 # --- licences ---
 
 def test_licences(spark):
