@@ -27,7 +27,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their recurring lines; a row that loses all its words goes, one that had none before stays.  n_chars follows the text."""
     count = "__dropped"
-    out = dedup_lines(docs, count_col=count)
+    out = dedup_lines(docs, count_col=count, every_template=True)
     out = out.where((F.col(count) == 0) | F.col("text").rlike(r"\S")).drop(count)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 

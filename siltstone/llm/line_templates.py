@@ -2,7 +2,8 @@
 
 A line's tokens with a digit are variable fields (`<*>`).  Its leaf in the tree is its token count and its first `depth` tokens.  The first
 line of a leaf (by doc_id, then position) founds the leaf's template; a line of the leaf that agrees with it in at least `percent` of the
-positions is generalised into it (the other positions are variable), any other line is its own template.  A template that occurs in
+positions is generalised into it (the other positions are variable).  Of the lines left over, with `every_template`, each in the same order is generalised into the first
+later template that it agrees with so, or founds one; without, each is its own template.  A template that occurs in
 `min_docs` documents or more is recurring: only its first line stays, every other line of it is dropped.  Lines of fewer than
 `min_tokens` tokens, and so blank lines, are never dropped.
 
@@ -60,29 +61,71 @@ def line_table(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     return lines.where(F.size("tokens") >= min_tokens).select("at", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"), F.xxhash64("tokens").alias("form"))
 
 
-def _generalised(docs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """(leaf, form) of the lines that are generalised into their leaf's first line."""
+def _agree(a: Column, b: Column, percent: int) -> Column:
+    return 100 * F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) >= percent * F.size(a)
+
+
+def _later(rest: DataFrame, depth: int, percent: int) -> DataFrame:
+    """(leaf, form, leader) of lines that are generalised into a later template of their leaf.
+
+    Two lines that agree differ in at most n_off positions behind the leading tokens, so of n_off + 1 bands of these positions one is equal: lines
+    that share no band with another line of the leaf are left out, and the others of a leaf compared in order.
+    """
+    n = F.size("tokens")
+    n_off = F.floor(n * (100 - percent) / 100).cast("int")
+    behind = F.greatest(n - depth, F.lit(0))
+
+    def edge(k: Column) -> Column:
+        return F.least(F.lit(depth), n) + F.floor(k * behind / (n_off + 1)).cast("int")
+
+    bands = F.transform(F.sequence(F.lit(0), n_off), lambda k: F.xxhash64(F.slice("tokens", edge(k) + 1, edge(k + 1) - edge(k))))
+    held = rest.select("leaf", "form", F.posexplode(bands).alias("nth", "band")).groupBy("leaf", "nth", "band").agg(F.collect_set("form").alias("forms")).where(F.size("forms") > 1)
+    some = held.select(F.col("leaf").alias("sl"), F.explode("forms").alias("sf")).distinct()
+    own = rest.join(some, (F.col("leaf") == F.col("sl")) & (F.col("form") == F.col("sf"))).groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "form", "tokens"))).alias("own"))
+    start = F.struct(F.expr("slice(own, 1, 0)").alias("leaders"), F.expr("CAST(array() AS ARRAY<STRUCT<form: BIGINT, leader: BIGINT>>)").alias("out"))
+
+    def step(state: Column, x: Column) -> Column:
+        hits = F.filter(state["leaders"], lambda y: _agree(x["tokens"], y["tokens"], percent))
+        return F.element_at(
+            F.transform(
+                F.array(hits),
+                lambda h: F.struct(
+                    F.when(F.size(h) > 0, state["leaders"]).otherwise(F.concat(state["leaders"], F.array(x))).alias("leaders"),
+                    F.concat(state["out"], F.array(F.struct(x["form"].alias("form"), F.coalesce(F.get(h, F.lit(0))["form"], x["form"]).alias("leader")))).alias("out"),
+                ),
+            ),
+            1,
+        )
+
+    return own.select("leaf", F.inline(F.aggregate("own", start, step, lambda s: s["out"]))).where("form <> leader")
+
+
+def _generalised(docs: DataFrame, lines: DataFrame, depth: int, percent: int, every_template: bool) -> DataFrame:
+    """(leaf, form, leader) of the lines that are generalised into an earlier line of their leaf."""
     forms = lines.groupBy("leaf", "form").agg(F.min("at").alias("at"))
     leaves = forms.groupBy("leaf").agg(F.min(F.struct("at", "form")).getField("form").alias("founder"), F.min("form").alias("lo"), F.max("form").alias("hi")).where("lo <> hi").select(F.col("leaf").alias("l"), "founder")
     wanted = forms.join(leaves, F.col("leaf") == F.col("l")).select(F.col("at.doc_id").alias("wid"), F.col("at.dkey").alias("wkey"), F.struct(F.col("at.pos").alias("pos"), "leaf", "form", "founder").alias("w"))
     wanted = wanted.groupBy("wid", "wkey").agg(F.collect_list("w").alias("ws"))
     wanted = cut(wanted)
     some = _marked(docs, wanted).where("maybe")
-    text = some.join(wanted, F.col("doc_id").eqNullSafe(F.col("wid")) & (F.col("dkey") == F.col("wkey"))).select("ws", _once(F.split("text", "\n")).alias("rows"))
-    got = text.select(F.inline(F.transform("ws", lambda w: F.struct(w["leaf"].alias("leaf"), w["form"].alias("form"), w["founder"].alias("founder"), F.get("rows", w["pos"]).alias("line")))))
-    got = cut(got.dropDuplicates(["leaf", "form"]).select("leaf", "form", "founder", _tokens(F.col("line")).alias("tokens")))
+    text = some.join(wanted, F.col("doc_id").eqNullSafe(F.col("wid")) & (F.col("dkey") == F.col("wkey"))).select("wid", "wkey", "ws", _once(F.split("text", "\n")).alias("rows"))
+    got = text.select(F.inline(F.transform("ws", lambda w: F.struct(w["leaf"].alias("leaf"), w["form"].alias("form"), w["founder"].alias("founder"), F.struct("wid", "wkey", w["pos"].alias("pos")).alias("at"), F.get("rows", w["pos"]).alias("line")))))
+    got = cut(got.dropDuplicates(["leaf", "form"]).select("leaf", "form", "founder", "at", _tokens(F.col("line")).alias("tokens")))
     first = got.where("form = founder").select(F.col("leaf").alias("l"), F.col("tokens").alias("base"))
-    same = F.size(F.filter(F.zip_with("tokens", "base", lambda a, b: a == b), lambda x: x))
-    return got.join(first, F.col("leaf") == F.col("l")).where(100 * same >= percent * F.size("tokens")).select(F.col("leaf").alias("gleaf"), F.col("form").alias("gform"), F.lit(True).alias("general"))
+    both, agree = got.join(first, F.col("leaf") == F.col("l")), _agree(F.col("tokens"), F.col("base"), percent)
+    led = both.where(agree).select("leaf", "form", F.col("founder").alias("leader"))
+    if every_template:
+        led = led.unionByName(_later(both.where(~agree).select("leaf", "form", "at", "tokens"), depth, percent))
+    return led.select(F.col("leaf").alias("gleaf"), F.col("form").alias("gform"), "leader")
 
 
-def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, percent: int = 80, min_docs: int = 2, min_tokens: int = 4) -> DataFrame:
+def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, percent: int = 80, min_docs: int = 2, min_tokens: int = 4, every_template: bool = False) -> DataFrame:
     """(doc_id, dkey, drops): positions of the dropped lines of each document that loses some; dkey = xxhash64(doc_id, text)."""
     docs = _keyed(docs, id_col, text_col)
     lines = cut(line_table(docs, depth, min_tokens))
-    general = _generalised(docs, lines, percent)
+    general = _generalised(docs, lines, depth, percent, every_template)
     named = lines.join(general, (F.col("leaf") == F.col("gleaf")) & (F.col("form") == F.col("gform")), "left")
-    named = named.select("at", F.when(F.col("general"), F.xxhash64("leaf", F.lit("general"))).otherwise(F.xxhash64("leaf", "form")).alias("template"))
+    named = named.select("at", F.xxhash64("leaf", F.coalesce("leader", "form")).alias("template"))
     named = cut(named)
     each = named.groupBy("template", F.col("at.doc_id").alias("doc_id"), F.col("at.dkey").alias("dkey")).agg(F.min("at").alias("first"))
     often = each.groupBy("template").agg(F.count("*").alias("n_docs"), F.min("first").alias("first")).where(F.col("n_docs") >= min_docs).select(F.col("template").alias("t"), "first")

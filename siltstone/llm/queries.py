@@ -25,7 +25,7 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.line_templates import dedup_lines
 
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_dropped")
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_dropped", every_template=True)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

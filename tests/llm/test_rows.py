@@ -117,6 +117,32 @@ def test_lines_of_odd_rows(spark):
     assert T.dedup_lines(odd(spark).limit(0)).count() == 0
 
 
+def test_later_templates_of_a_leaf(spark):
+    """One leaf: its first line is unrelated, three more templates recur, and a band shared by chance merges nothing."""
+    lines = ["we are all p q r s t u v", "we are all a b c d e f g", "we are all a b c d e f z", "we are all h i j k l m n", "we are all h i j k l m o", "we are all y b c d e f z", "we are all a b x x x x x", "we are all h w j k l m n"]
+    docs = [(k, line) for k, line in enumerate(lines)] + [(None, "we are all 1 e2 x3 k l m n")]
+    got = {r["doc_id"]: r["text"] for r in T.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), every_template=True).collect()}
+    assert [k for k, t in sorted((k, t) for k, t in got.items() if k is not None) if not t] == [2, 4, 5, 7]
+
+
+def leaders_by_hand(docs, depth=3, percent=80):
+    leaves, place = {}, {}
+    for i, t in docs:
+        tokens = t.split()
+        own = leaves.setdefault((len(tokens), *tokens[:depth]), [])
+        place[i] = next((j for j, u in own if 100 * sum(a == b for a, b in zip(u, tokens)) >= percent * len(tokens)), i)
+        if place[i] == i:
+            own.append((i, tokens))
+    return place
+
+
+def test_later_templates_equal_brute_force(spark):
+    rng = random.Random(8)
+    docs = [(k, " ".join(["we", "are", "all", *(rng.choice("ab") for _ in range(rng.choice([1, 2, 7, 9, 12])))])) for k in range(300)]
+    got = {r["doc_id"]: r["text"] for r in T.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), every_template=True).collect()}
+    assert {i for i, t in got.items() if not t} == {i for i, j in leaders_by_hand(docs).items() if i != j}
+
+
 # --- secrets ---
 
 def base_spans(text):
