@@ -42,7 +42,7 @@ class HeaderForward:
 @dataclass
 class PortLookup:
     url: str = ""
-    forward_url: str = "http://10.233.23.31"
+    forward_url: str = ""
     timeout: timedelta = timedelta(0)
     cache_exp: timedelta = timedelta(0)
     max_idle: int = 0
@@ -82,6 +82,8 @@ class ProxyConfig:
             self.lookup.url = self.lookup.url or self.legacy_lookup_url
             if not self.lookup.url:
                 raise ConfigError("dynamic ports need the lookup's url")
+            if not self.lookup.forward_url:
+                raise ConfigError("dynamic ports need the lookup's forward url")
             self.lookup.defaulted()
         if not self.routes and not self.dynamic_port:
             raise ConfigError("without dynamic ports at least one route is needed")
@@ -143,7 +145,7 @@ def from_dict(raw: dict) -> ProxyConfig:
         override=dict(hd.get("override") or {}),
         forward_url=raw.get("forward_url", ""),
         legacy_lookup_url=raw.get("port_manager_url", ""),
-        lookup=PortLookup(pm.get("url", ""), pm.get("forward_url") or PortLookup.forward_url, seconds(pm, "timeout"), seconds(pm, "cache_exp"), int(pm.get("max_idle_conns") or 0), int(pm.get("max_idle_conns_per_host") or 0), seconds(pm, "idle_conn_timeout")),
+        lookup=PortLookup(pm.get("url", ""), pm.get("forward_url", ""), seconds(pm, "timeout"), seconds(pm, "cache_exp"), int(pm.get("max_idle_conns") or 0), int(pm.get("max_idle_conns_per_host") or 0), seconds(pm, "idle_conn_timeout")),
         header_forward=HeaderForward(bool(hf.get("enabled")), hf.get("header_name", ""), [HeaderForwardPath(p.get("path", ""), p.get("with_header_url", ""), p.get("without_header_url", "")) for p in hf.get("paths") or []]),
     )
 

@@ -17,10 +17,22 @@ def json_string(doc: Column, key: str) -> Column:
     return F.when(F.schema_of_variant(member) == "STRING", F.try_variant_get(F.try_parse_json(doc), f"$.{key}", "string"))
 
 
+def query_value(query: Column, key: str) -> Column:
+    """The first value of a decoded key in a raw query, null without one.  Pairs with a semicolon or a broken escape are skipped."""
+
+    def pair(part: Column) -> Column:
+        cut = F.instr(part, "=")
+        name = F.when(cut > 0, F.substring(part, F.lit(1), cut - 1)).otherwise(part)
+        value = F.when(cut > 0, F.substring(part, cut + 1, F.length(part))).otherwise(F.lit(""))
+        return F.struct(F.try_url_decode(name).alias("name"), F.try_url_decode(value).alias("value"))
+
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: ~F.contains(p, F.lit(";"))), pair)
+    return F.get(F.filter(pairs, lambda p: (p["name"] == key) & p["value"].isNotNull()), F.lit(0))["value"]
+
+
 def client_id(method: Column, query: Column, body: Column, headers: Column, key: str = "clientId", header_name: str = "Clientid") -> Column:
     """DSP-03: GET reads the query, other methods the JSON body; an empty answer falls back to the header."""
-    from_query = F.regexp_extract(query, rf"(?:^|&){key}=([^&]*)", 1)
-    given = F.when(method == "GET", from_query).otherwise(json_string(body, key))
+    given = F.when(method == "GET", query_value(query, key)).otherwise(json_string(body, key))
     return F.when(F.coalesce(given, F.lit("")) != "", given).otherwise(header(headers, header_name))
 
 

@@ -16,15 +16,19 @@ def strip_proxy_prefix(path: Column) -> Column:
     return F.when(F.startswith(path, F.lit(PROXY_PREFIX)), F.substring(path, len(PROXY_PREFIX) + 1, 2**31 - 1)).otherwise(path)
 
 
+def rooted(path: Column) -> Column:
+    return F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit("/"), path))
+
+
 def clean_url_path(path: Column) -> Column:
     """URL-02: rooted, without repeated slashes and without one trailing slash; empty becomes "/"."""
-    rooted = F.regexp_replace(F.concat(F.lit("/"), path), "/{2,}", "/")
-    return F.when(rooted == "/", rooted).otherwise(F.regexp_replace(rooted, "/$", ""))
+    single = F.regexp_replace(F.concat(F.lit("/"), path), "/{2,}", "/")
+    return F.when(single == "/", single).otherwise(F.regexp_replace(single, "/$", ""))
 
 
 def join_base(base: Column, path: Column) -> Column:
-    """URL-03: base without its trailing slashes, then path; an empty base gives the path."""
-    return F.concat(F.regexp_replace(base, "/+$", ""), path)
+    """URL-03: base without its trailing slashes, then the rooted path; an empty base gives the path as it is."""
+    return F.when(base == "", path).otherwise(F.concat(F.regexp_replace(base, "/+$", ""), rooted(path)))
 
 
 def append_query(url: Column, query: Column) -> Column:
@@ -39,8 +43,9 @@ def join_once(base: Column, path: Column) -> Column:
 
 
 def drop_legacy_prefix(path: Column) -> Column:
-    """URL-07: a path of more than 13 bytes loses its first 13, whatever they are."""
-    return F.when(F.octet_length(path) > LEGACY_PREFIX_LENGTH, F.substring(path, LEGACY_PREFIX_LENGTH + 1, 2**31 - 1)).otherwise(path)
+    """URL-07: a path of more than 13 bytes loses its first 13, whatever they are; both counted in bytes."""
+    rest = F.substring(F.encode(path, "UTF-8"), LEGACY_PREFIX_LENGTH + 1, 2**31 - 1).cast("string")
+    return F.when(F.octet_length(path) > LEGACY_PREFIX_LENGTH, rest).otherwise(path)
 
 
 def with_port(base: Column, port: Column) -> Column:
@@ -94,12 +99,31 @@ def is_hidden(path: Column) -> Column:
     return ~to_unix_path(path).isin(".", "..") & F.exists(segments(path), lambda s: F.startswith(s, F.lit(".")))
 
 
+#: What a path may hold besides letters, digits and - . _ ; everything else is percent-encoded.
+PATH_SAFE = "/$&,:;=@~"
+
+
+def encoded_path(path: Column) -> Column:
+    """Percent-encoded UTF-8, as the path of a URL is written."""
+    out = F.replace(F.replace(F.url_encode(path), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))
+    for c in PATH_SAFE + "+":
+        out = F.replace(out, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    return out
+
+
+def decoded_path(path: Column) -> Column:
+    """The path that a URL's percent-encoding stands for; null where an escape is broken.  A plus stays a plus."""
+    return F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def full_path_url(target: Column, path: Column) -> Column:
-    """URL-04: the target's path joined with the request's and cleaned; the target's query is dropped."""
+    """URL-04: the target's path, then the rooted request path, cleaned and percent-encoded; the target's query and fragment are dropped.
+
+    path is a decoded one, as the request's path column holds it; a target with a broken escape gives null.
+    """
     origin = F.regexp_extract(target, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    own = F.regexp_extract(target, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
-    joined = F.when((own == "") & (path == ""), F.lit("")).otherwise(to_unix_path(F.array_join(F.filter(F.array(own, path), lambda x: x != ""), "/")))
-    return F.concat(origin, joined)
+    own = decoded_path(F.regexp_extract(target, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1))
+    return F.concat(origin, encoded_path(to_unix_path(F.concat(own, rooted(path)))))
 
 
 def first_rule(path: Column, rules: list[tuple[str, str]]) -> Column:

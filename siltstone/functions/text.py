@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BASE64 = r"^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
@@ -43,8 +43,11 @@ def decode_base64(text: Column) -> Column:
 
 
 def truncate_error(text: Column, limit: int = 200) -> Column:
-    """ERR-11: cut with dots beyond limit bytes; counted in characters, so no character is split."""
-    return F.when(F.octet_length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit("..."))).otherwise(text)
+    """ERR-11: a null is empty; beyond limit bytes cut there, or before the character that the limit would split, with dots."""
+    n = F.length(F.substring(F.encode(text, "UTF-8"), 1, limit).cast("string"))  # a split last character counts as one
+    head = F.left(text, n)
+    head = F.when(F.octet_length(head) > limit, F.left(text, n - 1)).otherwise(head)
+    return F.coalesce(F.when(F.octet_length(text) > limit, F.concat(head, F.lit("..."))).otherwise(text), F.lit(""))
 
 
 def join_numbers(numbers: Column) -> Column:
@@ -57,9 +60,20 @@ def distinct_in_order(items: Column) -> Column:
     return F.array_distinct(items)
 
 
+def timestamp_of(item: Column) -> Column:
+    """SRT-01: a sign and digits as a long, beyond its range the nearest one; anything else, blanks around it too, is 0."""
+    beyond = F.when(F.startswith(item, F.lit("-")), F.lit(-(2**63))).otherwise(F.lit(2**63 - 1))
+    return F.when(item.rlike(r"^[+-]?[0-9]+\z"), F.coalesce(item.try_cast("long"), beyond)).otherwise(F.lit(0).cast("long"))
+
+
 def ordered_timestamps(items: Column) -> Column:
-    """SRT-01: the distinct numbers in order; what isn't a number counts as 0."""
-    return F.array_sort(F.array_distinct(F.transform(items, lambda x: F.coalesce(x.try_cast("long"), F.lit(0).cast("long")))))
+    """SRT-01: the distinct numbers of one row's array in order."""
+    return F.array_sort(F.array_distinct(F.transform(items, timestamp_of)))
+
+
+def ordered_timestamps_by(rows: DataFrame, key: str, item: str, out: str = "at") -> DataFrame:
+    """SRT-01 over rows: (key, out), the distinct numbers of each key, sorted by ranges, so no key's set is gathered."""
+    return rows.select(key, timestamp_of(F.col(item)).alias(out)).distinct().orderBy(key, out)
 
 
 def map_values_sorted(m: Column) -> Column:

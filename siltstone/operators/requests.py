@@ -11,8 +11,8 @@ from siltstone.functions import paths as P
 
 MAX_URL, MAX_HEADERS, MAX_BODY = 65536, 1 << 20, 100 << 20
 METHODS = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS")
-#: Up to so many routes a join with all of them is small; beyond, paths are expanded to their prefixes and joined by equality.
-ROUTES_BY_NESTED_LOOP = 1000
+#: Routes of up to so many different lengths are probed once for each length; of more, each path is expanded to its prefixes.
+PROBES = 32
 
 
 # --- validation ---------------------------------------------------------------------------------------------------
@@ -35,10 +35,12 @@ def body_status(method: Column, body: Column, limit: int = MAX_BODY) -> Column:
 
 def header_forward_target(path: Column, headers: Column, rules: HeaderForward) -> Column:
     """JON-05: the first rule of exactly this path gives one of two URLs by the header's presence."""
-    out = F.lit(None).cast("string")
-    for p in reversed(rules.paths if rules.enabled else []):
-        out = F.when(path == p.path, F.when(H.header(headers, rules.header_name) != "", p.with_url).otherwise(p.without_url)).otherwise(out)
-    return out
+    first: dict = {}
+    for p in rules.paths if rules.enabled else []:
+        first.setdefault(p.path, p)
+    given = H.header(headers, rules.header_name) != ""
+    pick = lambda url: lookup(path, {k: url(p) for k, p in first.items()}, None)
+    return F.when(given, pick(lambda p: p.with_url)).otherwise(pick(lambda p: p.without_url))
 
 
 def strategy(path: Column, headers: Column, config: ProxyConfig, version_header: str = "X-Client-Version") -> Column:
@@ -58,21 +60,27 @@ def last_route_wins(routes: DataFrame) -> DataFrame:
 def longest_prefix_route(requests: DataFrame, routes: DataFrame, path: str = "path") -> DataFrame:
     """JON-01, AGG-02: adds path_prefix and target_url of the longest route that is a string prefix; null where none is.
 
-    The path's prefixes of the lengths that routes have are looked up one after the other, longest first, in one map of all routes
-    while those are few; many routes are joined by equality with the exploded prefixes instead.
+    The path's prefix of each length that routes have is joined with the routes by equality.  While the routes are small, Spark broadcasts them once
+    for all these joins, so requests are not shuffled; how many routes there are changes the joins' kind, not their number.  Routes of more than
+    PROBES lengths are joined once with the exploded prefixes instead, with the same rows.
     """
     known = last_route_wins(routes)
-    rows = known.limit(ROUTES_BY_NESTED_LOOP + 1).collect()
-    if len(rows) <= ROUTES_BY_NESTED_LOOP:
-        pick = F.lit(None).cast("struct<path_prefix:string,target_url:string>")
-        for r in sorted(rows, key=lambda r: len(r["path_prefix"])):
-            pick = F.when(F.startswith(F.col(path), F.lit(r["path_prefix"])), F.struct(F.lit(r["path_prefix"]).alias("path_prefix"), F.lit(r["target_url"]).alias("target_url"))).otherwise(pick)
-        return requests.withColumn("__r", pick).withColumns({"path_prefix": F.col("__r.path_prefix"), "target_url": F.col("__r.target_url")}).drop("__r")
-    longest = known.agg(F.max(F.length("path_prefix"))).first()[0]
-    keyed = requests.withColumn("__id", F.monotonically_increasing_id())
-    prefixes = keyed.select("__id", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length(path), F.lit(longest))), lambda n: F.substring(F.col(path), F.lit(1), n))).alias("p"))
-    best = prefixes.join(known, F.col("p") == F.col("path_prefix")).groupBy("__id").agg(F.max_by(F.struct("path_prefix", "target_url"), F.length("p")).alias("__r"))
-    return keyed.join(best, "__id", "left").withColumns({"path_prefix": F.col("__r.path_prefix"), "target_url": F.col("__r.target_url")}).drop("__r", "__id")
+    lengths = sorted((r["n"] for r in known.select(F.length("path_prefix").alias("n")).distinct().limit(PROBES + 1).collect()), reverse=True)
+    named = F.struct("path_prefix", "target_url")
+    if len(lengths) <= PROBES:
+        rows = requests
+        for n in lengths:
+            # a shorter path has a shorter prefix, which may be a route of its own: the lengths tell
+            one = known.select(F.col("path_prefix").alias("__p"), named.alias(f"__r{n}"))
+            rows = rows.join(one, F.substring(F.col(path), 1, n) == F.col("__p"), "left").drop("__p")
+        rows = rows.withColumn("__r", F.coalesce(*[F.col(f"__r{n}") for n in lengths], F.lit(None).cast("struct<path_prefix:string,target_url:string>")))
+    else:
+        longest = known.agg(F.max(F.length("path_prefix"))).first()[0]
+        rows = requests.withColumn("__id", F.monotonically_increasing_id())
+        prefixes = rows.select("__id", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length(path), F.lit(longest))), lambda n: F.substring(F.col(path), F.lit(1), n))).alias("p"))
+        best = prefixes.where("p <> ''").join(known, F.col("p") == F.col("path_prefix")).groupBy("__id").agg(F.max_by(named, F.length("p")).alias("__r"))
+        rows = rows.join(best, "__id", "left")
+    return rows.select(*requests.columns, "__r.path_prefix", "__r.target_url")
 
 
 def registered(requests: DataFrame, routes: DataFrame, how: str = "inner") -> DataFrame:
@@ -119,10 +127,14 @@ SENTINELS = {"FileNotFound": "file or directory not found", "ReadTimeout": "read
 
 
 def lookup(key: Column, table: dict, default) -> Column:
-    out = F.lit(default)
-    for k, v in table.items():
-        out = F.when(key == k, v).otherwise(out)
-    return out
+    """One flat chain, however long the table is."""
+    chain = list(table.items())
+    if not chain:
+        return F.lit(default)
+    out = F.when(key == chain[0][0], chain[0][1])
+    for k, v in chain[1:]:
+        out = out.when(key == k, v)
+    return out.otherwise(default)
 
 
 def error_status(code: Column) -> Column:
@@ -140,12 +152,47 @@ def proxy_error(code: Column, details: Column, at: Column | None = None) -> Colu
     return F.struct(code.alias("code"), lookup(code, MESSAGES, "Bad request").alias("message"), details.alias("details"), (at if at is not None else F.lit(None).cast("timestamp")).alias("timestamp"))
 
 
-def envelope(error: Column, data: Column) -> Column:
-    """ERR-07, SNK-08: JSON of code -1 and the error's text, or of code 0, "ok", success and the data."""
-    bad = F.to_json(F.struct(F.lit(-1).alias("code"), error.alias("message"), F.lit(False).alias("success")))
+def invalid_param(name: Column, value: Column) -> Column:
+    """ERR-08."""
+    return F.format_string(INVALID_PARAM, name, value)
+
+
+def record_not_found(name: Column, value: Column) -> Column:
+    """ERR-09."""
+    return F.format_string(NOT_FOUND, name, value)
+
+
+def missing_param(name: Column) -> Column:
+    """ERR-10."""
+    return F.format_string(MISSING_PARAM, name)
+
+
+def sentinel(name: Column) -> Column:
+    """ERR-06: the message of a named error, null for an unknown name."""
+    return lookup(name, SENTINELS, None)
+
+
+def handler_status(failure: Column) -> Column:
+    """SNK-01, SNK-03: 404 without a route, 501 without a configured target, 503 without a handler, null without a failure."""
+    return lookup(failure, {"no_route": NO_ROUTE, "not_configured": NOT_CONFIGURED, "no_handler": NO_HANDLER}, None)
+
+
+def code_text(code: Column, message: Column) -> Column:
+    """ERR-07: an error with a code of its own, as text."""
+    return F.format_string("code: %d, message: %s", code, message)
+
+
+def envelope(error: Column, data: Column, code: Column | None = None) -> Column:
+    """ERR-07, SNK-08: JSON of the error's own code, else -1, and its text; or of code 0, "ok", success and the data, which is left out if null."""
+    bad = F.to_json(F.struct((F.coalesce(code, F.lit(-1)) if code is not None else F.lit(-1)).alias("code"), error.alias("message"), F.lit(False).alias("success")))
     return F.when(error.isNotNull(), bad).otherwise(F.to_json(F.struct(F.lit(0).alias("code"), F.lit("ok").alias("message"), F.lit(True).alias("success"), data.alias("data"))))
 
 
+def copied_response(status: Column, headers: Column, body: Column, own: Column | None = None) -> Column:
+    """SNK-02: the response that goes to the client: status and body as they came, headers added to those that it has already."""
+    return F.struct(status.alias("status"), (H.merged(own, headers) if own is not None else headers).alias("headers"), body.alias("body"))
+
+
 # --- health -------------------------------------------------------------------------------------------------------
 
 def probe_state(status: Column, error: Column) -> Column:
@@ -160,16 +207,20 @@ def route_health(routes: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def health_summary(probes: DataFrame, by: str) -> DataFrame:
-    """HLT-03, HLT-04, AGG-03, AGG-04 from probe rows: counts of each state and the distinct errors, by a column."""
+    """HLT-03, HLT-04, AGG-04 from probe rows: counts of each state, by a column."""
     state = probe_state(F.col("status"), F.col("error"))
-    return probes.groupBy(by).agg(F.count("*").alias("n_probes"), *(F.count_if(state == s).alias(f"n_{s}") for s in ("ok", "unhealthy", "error")), F.array_sort(F.collect_set("error")).alias("errors"))
+    return probes.groupBy(by).agg(F.count("*").alias("n_probes"), *(F.count_if(state == s).alias(f"n_{s}") for s in ("ok", "unhealthy", "error")))
 
 
-def constant_health(config: ProxyConfig) -> str:
-    """HLT-01: the JSON of the always reachable first route, escaped properly."""
-    import json
+def health_errors(probes: DataFrame, by: str) -> DataFrame:
+    """AGG-03: each distinct error with its number of probes, by a column; rows, so a group with very many errors stays bounded."""
+    return probes.where("error IS NOT NULL").groupBy(by, "error").agg(F.count("*").alias("n_probes"))
 
-    return json.dumps({"status": "ok", "target": config.routes[0].target_url if config.routes else "", "reachable": True, "response_time_ms": 0})
+
+def constant_health(config: ProxyConfig) -> Column:
+    """HLT-01: the JSON of the always reachable first route, escaped properly."""
+    target = config.routes[0].target_url if config.routes else ""
+    return F.to_json(F.struct(F.lit("ok").alias("status"), F.lit(target).alias("target"), F.lit(True).alias("reachable"), F.lit(0).alias("response_time_ms")))
 
 
 # --- the whole decision -------------------------------------------------------------------------------------------

@@ -43,6 +43,21 @@ def relation_tree(edges: DataFrame, roots: DataFrame, max_layer: int = MAX_LAYER
     return seen
 
 
+def with_nodes(tree: DataFrame, nodes: DataFrame, content: bool = False) -> DataFrame:
+    """CQ-01: the tree's rows with their nodes' type, file and position, and with content only if asked for; a node without a row keeps nulls.
+
+    nodes: node, node_type, path, start_line, start_column, end_line, end_column, content; one row for each node.
+    """
+    place = F.struct("start_line", "start_column", "end_line", "end_column").alias("position")
+    return tree.join(nodes.select("node", "node_type", "path", place, *(["content"] if content else [])), "node", "left")
+
+
+def definitions_of_snippets(symbols: DataFrame, requests: DataFrame, snippet: str = "snippet") -> DataFrame:
+    """CQ-02 by code: (request columns, symbol columns) for each symbol whose name is an identifier of the snippet; each symbol once for each request."""
+    names = requests.withColumn("name", F.explode(F.array_distinct(F.regexp_extract_all(F.col(snippet), F.lit(r"([\p{L}_][\p{L}\p{N}_]*)"), 1))))
+    return names.join(symbols, "name")
+
+
 def definitions(symbols: DataFrame, requests: DataFrame) -> DataFrame:
     """CQ-02, JON-09: symbols of the requested file that overlap the requested lines; an equi join on the file, then the overlap."""
     return requests.join(symbols, "path").where((F.col("start_line") <= F.col("to_line")) & (F.col("end_line") >= F.col("from_line")))
@@ -65,11 +80,18 @@ def hash_diff(client: DataFrame, server: DataFrame) -> DataFrame:
     return both.where(~F.col("c.hash").eqNullSafe(F.col("s.hash"))).select("path", state.alias("change"))
 
 
-def directory_tree(files: DataFrame, depth: int = 0, include_files: bool = True, path: str = "path", size: str = "size") -> DataFrame:
+def directory_tree(files: DataFrame, depth: int = 0, include_files: bool = True, path: str = "path", size: str = "size", sub_dir: str = "") -> DataFrame:
     """CQ-06, AGG-07: (path, parent, depth, is_dir, n_files, size) of every directory, and of files; depth 0 is unlimited.
 
-    Each file gives a row for each of its ancestors; sizes are summed map-side first.
+    With sub_dir only what lies below it counts, and depths are counted from there.  Each file gives a row for each of its ancestors; sizes are summed map-side first.
     """
+    top = [p for p in sub_dir.split("/") if p]
+    if top:
+        whole = F.filter(F.split(F.col(path), "/"), lambda p: p != "")
+        below = F.array_join(F.slice(whole, F.lit(len(top) + 1), F.greatest(F.size(whole) - len(top), F.lit(0))), "/")
+        found = directory_tree(files.where(F.slice(whole, 1, len(top)) == F.array(*map(F.lit, top))).select(below.alias(path), size), depth, include_files, path, size)
+        head = F.lit("/" + "/".join(top))
+        return found.withColumns({"path": F.concat(head, "path"), "parent": F.when(F.col("parent") == "/", head).otherwise(F.concat(head, F.col("parent")))})
     parts = F.filter(F.split(F.col(path), "/"), lambda p: p != "")
     rows = files.select(parts.alias("parts"), F.col(size).cast("long").alias("size")).where(F.size("parts") > 0)
     levels = F.when(F.lit(depth) > 0, F.least(F.size("parts"), F.lit(depth))).otherwise(F.size("parts"))
@@ -95,15 +117,14 @@ def without_deleted(index: DataFrame, deleted: DataFrame, key: str) -> DataFrame
     return index.join(deleted, key, "left_anti")
 
 
-def index_task(index_type: str, files: dict[str, str]) -> dict:
-    """CQ-10: the row of a new task; its id depends on its content only."""
-    import hashlib
-    import json
+INDEX_TYPES = ("embedding", "codegraph", "all")
+
 
-    if index_type not in ("embedding", "codegraph", "all"):
-        raise ValueError(f"index type {index_type!r}")
-    body = json.dumps([index_type, sorted(files.items())])
-    return {"task_id": hashlib.sha256(body.encode()).hexdigest()[:32], "index_type": index_type, "files": files}
+def index_tasks(requests: DataFrame) -> DataFrame:
+    """CQ-10: (task_id, index_type, files) for requests of (index_type, files map); an id depends on the content only, an unknown type has none."""
+    body = F.to_json(F.struct("index_type", F.array_sort(F.map_entries("files")).alias("files")))
+    task = F.when(F.col("index_type").isin(*INDEX_TYPES), F.left(F.sha2(body, 256), F.lit(32)))
+    return requests.select(task.alias("task_id"), "index_type", "files")
 
 
 def store_upload(files: DataFrame, target: str, partition: str) -> None:

@@ -22,9 +22,3 @@ REQUEST = T.StructType(
 ROUTE = "pos int, path_prefix string, target_url string, timeout interval day to second"
 REWRITE_RULE = "pos int, `from` string, `to` string"
 HEADER_FORWARD = "pos int, path string, with_url string, without_url string"
-PORT_MAPPING = "client_id string, app_name string, port int, fetched_at timestamp"
-PROXY_ERROR = "code string, message string, details string, timestamp timestamp"
-ENVELOPE = "code int, message string, success boolean, data string"
-POSITION = "start_line int, start_column int, end_line int, end_column int"
-RELATION_EDGE = "parent_id string, child_id string, layer int"
-TREE_ROW = "path string, parent string, depth int, is_dir boolean, size long, language string"

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone import schemas
+from siltstone.functions.headers import lookup_headers
 from siltstone.functions.paths import url_parts
 
 #: What the derived requests use, by page_id mod 8; the last is not allowed on purpose.
@@ -42,25 +43,70 @@ def requests_of_pages(pages: DataFrame) -> DataFrame:
 
 
 def send_each(batch: DataFrame, send: Callable[[str, str], int]) -> DataFrame:
-    """SNK-01, SNK-04: the egress of decided requests, a session for each partition; returns request_id and status.
+    """SNK-01, SNK-03, SNK-04: the egress of decided requests; returns request_id and status.
 
-    send(method, target) is called on the executors; errors become ERR-01 statuses.
+    send(method, target) is called on the executors.  Where it fails, a static target gives 504 for a time-out, 503 for an unreachable target and 500
+    otherwise; the other strategies give 500 for a request that can't be built (ValueError) and 502 for one that can't be sent.  A request
+    without a target keeps the status it has.
     """
     import pyarrow as pa
 
+    def status(method, target, strategy, own):
+        if target is None:
+            return own
+        try:
+            return send(method, target)
+        except TimeoutError:
+            return 504 if strategy == "static" else 502
+        except OSError:
+            return 503 if strategy == "static" else 502
+        except ValueError:
+            return 500
+
     def run(batches):
         for b in batches:
-            out = []
-            for method, target in zip(b.column("method").to_pylist(), b.column("target").to_pylist(), strict=True):
-                try:
-                    out.append(send(method, target))
-                except TimeoutError:
-                    out.append(504)
-                except OSError:
-                    out.append(503)
+            out = [status(*r) for r in zip(*(b.column(c).to_pylist() for c in ("method", "target", "strategy", "status")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("request_id"), pa.array(out, pa.int32())], ["request_id", "status"])
 
-    return batch.select("request_id", "method", "target").mapInArrow(run, "request_id long, status int")
+    return batch.select("request_id", "method", "target", "strategy", "status").mapInArrow(run, "request_id long, status int")
+
+
+def lookup_url(base: Column, client: Column, app: Column) -> Column:
+    """SRC-05: the port look-up's URL; its values are not escaped."""
+    return F.concat(base, F.lit("/tunnel-manager/api/v1/ports?clientId="), client, F.lit("&appName="), app)
+
+
+def fetch_ports(requests: DataFrame, base: str, fetch: Callable[[str, dict], tuple[int, str]]) -> DataFrame:
+    """SRC-05 live: rows for operators.requests.port_lookup, (client_id, app_name, port, fetched_at, error), one fetch for each client and app.
+
+    fetch(url, headers) is called on the executors and gives status and body.  The body is read before the status is looked at, so a
+    broken one is the error that counts.  Headers are those of any one request of the client, without host and content-length.
+    """
+    import json
+
+    import pyarrow as pa
+
+    keys = requests.groupBy("client_id", "app_name").agg(F.to_json(F.any_value(lookup_headers(F.col("headers")))).alias("headers"))
+    keys = keys.withColumn("url", lookup_url(F.lit(base), F.col("client_id"), F.col("app_name")))
+
+    def one(url, headers):
+        try:
+            status, body = fetch(url, json.loads(headers or "{}"))
+        except OSError as e:
+            return None, f"failed to fetch port: {e}"
+        try:
+            port = int(json.loads(body).get("mappingPort") or 0)
+        except (ValueError, AttributeError, TypeError) as e:
+            return None, f"failed to decode response: {e}"
+        return (port, None) if status == 200 else (None, f"unexpected status code: {status}")
+
+    def run(batches):
+        for b in batches:
+            got = [one(*r) for r in zip(b.column("url").to_pylist(), b.column("headers").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("client_id"), b.column("app_name"), pa.array([p for p, _ in got], pa.int32()), pa.array([e for _, e in got], pa.string())], ["client_id", "app_name", "port", "error"])
+
+    fetched = keys.mapInArrow(run, "client_id string, app_name string, port int, error string")
+    return fetched.withColumn("fetched_at", F.current_timestamp())
 
 
 def write_envelopes(df: DataFrame, path: str, mode: str = "append") -> None:

@@ -1,9 +1,11 @@
+import json
+import time
 from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.config import ConfigError, HeaderForward, HeaderForwardPath, ProxyConfig, Route, default_config, from_dict, validate_service
+from siltstone.config import ConfigError, HeaderForward, HeaderForwardPath, PortLookup, ProxyConfig, Route, default_config, from_dict, validate_service
 from siltstone.functions import headers as H
 from siltstone.functions import identity as I
 from siltstone.functions import paths as P
@@ -47,7 +49,13 @@ def test_clean_url_path(spark, path, want):
 
 
 def test_url_pieces(spark):
-    assert one(spark, P.join_base(F.lit(""), F.lit("/x"))) == "/x"
+    base = lambda b, p: one(spark, P.join_base(F.lit(b), F.lit(p)))
+    assert [base("", "/x"), base("", "x"), base("http://b", "x"), base("http://b//", "/x"), base("http://b", "")] == ["/x", "x", "http://b/x", "http://b/x", "http://b/"]
+    full = lambda b, p: one(spark, P.full_path_url(F.lit(b), F.lit(p)))
+    assert [full("http://t", "a"), full("http://t", ""), full("http://t/x%20y/", "a b/é%"), full("http://t/b?q#f", "/../c"), full("http://t/%zz", "a")] == ["http://t/a", "http://t/", "http://t/x%20y/a%20b/%C3%A9%25", "http://t/c", None]
+    assert one(spark, P.encoded_path(F.lit("/a$&+,:;=@~-._!*'()[]?#"))) == "/a$&+,:;=@~-._%21%2A%27%28%29%5B%5D%3F%23"
+    assert one(spark, P.drop_legacy_prefix(F.lit("/éééééétail"))) == "tail"
+    assert one(spark, P.path_equal(F.lit("a\\b"), F.lit("a/b"), windows=True)) and not one(spark, P.path_equal(F.lit("a\\b"), F.lit("a/b")))
     assert one(spark, P.strip_proxy_prefix(F.lit("/proxyfoo"))) == "foo"
     assert one(spark, P.full_path_url(F.lit("http://h:1/b?x=1"), F.lit("/a/../c/"))) == "http://h:1/b/c"
     assert one(spark, P.join_once(F.lit("h/"), F.lit("/p"))) == "h//p"
@@ -80,6 +88,10 @@ def test_text_traps(spark):
     assert [one(spark, X.is_blank(F.lit(t))) for t in ("", " \t  ", "x ")] == [True, True, False]
     assert [one(spark, X.decode_base64(F.lit(t))) for t in ("aGk=", "aGk", "%%%", "aG\nk=", "")] == ["hi", "aGk", "%%%", "hi", ""]
     assert one(spark, X.truncate_error(F.lit("a" * 201))) == "a" * 200 + "..."
+    assert [one(spark, X.truncate_error(F.lit(t))) for t in ("é" * 150, "x" + "é" * 150, "é" * 100, "世" * 67)] == ["é" * 100 + "...", "x" + "é" * 99 + "...", "é" * 100, "世" * 66 + "..."]
+    assert one(spark, X.truncate_error(F.lit(None).cast("string"))) == ""
+    assert one(spark, X.ordered_timestamps(F.array(*map(F.lit, [" 7", "9" * 20, "-" + "9" * 20, "+8", "1\n"])))) == [-(2**63), 0, 8, 2**63 - 1]
+    assert one(spark, X.join_lines(X.split_lines(F.lit("a\n\nb")))) == "a\n\nb" and one(spark, X.map_values_sorted(F.create_map(F.lit(1), F.lit("z"), F.lit(2), F.lit("a")))) == ["a", "z"]
     assert one(spark, X.distinct_in_order(F.array(*map(F.lit, "baab")))) == ["b", "a"]
     assert one(spark, X.ordered_timestamps(F.array(*map(F.lit, ["10", "abc", "2", "0"])))) == [0, 2, 10]
 
@@ -89,6 +101,8 @@ def test_identity(spark):
     bodies = [('{"clientId":"b"}', "b"), ('{"clientId":5}', "h"), ("{}", "h"), ("oops", "h"), ("[1]", "h"), ('{"clientId":""}', "h")]
     assert [one(spark, I.client_id(F.lit("POST"), F.lit(""), F.lit(b), h)) for b, _ in bodies] == [w for _, w in bodies]
     assert one(spark, I.client_id(F.lit("GET"), F.lit("x=1&clientId=q&clientId=r"), F.lit(""), h)) == "q"
+    queries = [("clientId=a%20b", "a b"), ("clientId=a+b", "a b"), ("client%49d=z", "z"), ("clientId=%zz&clientId=r", "r"), ("clientId=a;b", "h"), ("clientId", "h"), ("clientId=a=b", "a=b"), ("", "h")]
+    assert [one(spark, I.client_id(F.lit("GET"), F.lit(q), F.lit(""), h)) for q, _ in queries] == [w for _, w in queries]
     assert one(spark, I.mapped_port(F.lit('{"mappingPort":81}'))) == 81 and one(spark, I.mapped_port(F.lit("{}"))) == 0
     token = lambda doc: F.base64(F.encode(F.lit(doc), "UTF-8"))
     docs = [('{"name":"n","email":"a@b"}', "na"), ('{"email":"@b"}', ""), ('{"email":{"name":"x","email":"y@z"}}', "xy"), ('{"name":1}', ""), ("5", "")]
@@ -105,10 +119,10 @@ def test_durations():
 def test_config_rules():
     ok = lambda **k: ProxyConfig(routes=[Route("/a", "http://t")], **k)
     assert ok().validated().mode == "rewrite" and ok().validated().routes[0].timeout == timedelta(seconds=30)
-    c = ProxyConfig(dynamic_port=True, legacy_lookup_url="http://pm").validated()
+    c = ProxyConfig(dynamic_port=True, legacy_lookup_url="http://pm", lookup=PortLookup(forward_url="http://f")).validated()
     assert c.lookup.url == "http://pm" and c.lookup.cache_exp == timedelta(minutes=5) and (c.lookup.max_idle, c.lookup.max_idle_per_host) == (10, 5)
     assert not ok(mode="full_path", rewrite_enabled=True).validated().rewrite_enabled
-    bad = [ok(mode="x"), ProxyConfig(), ProxyConfig(dynamic_port=True), ProxyConfig(routes=[Route("", "u")]), ProxyConfig(routes=[Route("/a")]), ok(rules=[("", "x")])]
+    bad = [ok(mode="x"), ProxyConfig(), ProxyConfig(dynamic_port=True), ProxyConfig(dynamic_port=True, legacy_lookup_url="http://pm"), ProxyConfig(routes=[Route("", "u")]), ProxyConfig(routes=[Route("/a")]), ok(rules=[("", "x")])]
     bad += [ok(header_forward=HeaderForward(True, *x)) for x in (("",), ("H", []), ("H", [HeaderForwardPath("p", "", "w")]))]
     for b in bad:
         with pytest.raises(ConfigError):
@@ -132,13 +146,39 @@ def test_request_checks(spark):
     assert one(spark, R.body_status(F.lit("GET"), F.lit("abc").cast("binary"), 3)) is None
 
 
-def test_many_routes_match_like_few(spark, monkeypatch):
+def route_rows(df):
+    return sorted(map(tuple, df.select("path", "path_prefix", "target_url").collect()), key=repr)
+
+
+def test_routes_of_many_lengths_match_like_few(spark, monkeypatch):
     routes = ProxyConfig(routes=[Route("/a", "1"), Route("/a/b", "2"), Route("/a", "3"), Route("", "4")]).route_table(spark)
-    paths = spark.createDataFrame([("/a/bc",), ("/ax",), ("/b",), ("",)], "path string")
-    few = sorted(map(tuple, R.longest_prefix_route(paths, routes).collect()), key=repr)
-    monkeypatch.setattr(R, "ROUTES_BY_NESTED_LOOP", 0)
-    assert few == sorted(map(tuple, R.longest_prefix_route(paths, routes).select("path", "path_prefix", "target_url").collect()), key=repr)
-    assert ("/ax", "/a", "3") in few and ("/b", None, None) in few
+    paths = spark.createDataFrame([("/a/bc", 1), ("/ax", 1), ("/b", 1), ("", 1), ("/a/b", 1), (None, 1)], "path string, target_url int").drop("target_url")
+    few = route_rows(R.longest_prefix_route(paths, routes))
+    monkeypatch.setattr(R, "PROBES", 0)
+    assert few == route_rows(R.longest_prefix_route(paths, routes))
+    assert ("/ax", "/a", "3") in few and ("/b", None, None) in few and ("/a/b", "/a/b", "2") in few and (None, None, None) in few
+    assert R.longest_prefix_route(paths, routes.limit(0)).where("path_prefix IS NULL").count() == 6
+
+
+@pytest.mark.parametrize("n", [1_000, 50_000])
+def test_very_many_routes(spark, n):
+    routes = spark.range(n).select(F.lit(1).alias("pos"), F.concat(F.lit("/r/"), F.col("id").cast("string")).alias("path_prefix"), F.concat(F.lit("http://h"), F.col("id").cast("string")).alias("target_url"))
+    paths = spark.range(2000).select(F.concat(F.lit("/r/"), (F.col("id") * 7).cast("string"), F.lit("/x")).alias("path"))
+    began = time.time()
+    got = route_rows(R.longest_prefix_route(paths, routes))
+    assert time.time() - began < 5
+    known = {f"/r/{k}" for k in range(n)}
+    for path, prefix, target in got:
+        assert prefix == next((path[:k] for k in range(len(path), 0, -1) if path[:k] in known), None)
+        assert target == (prefix and "http://h" + prefix[3:])
+
+
+def test_very_many_header_paths(spark):
+    rules = HeaderForward(True, "V", [HeaderForwardPath(f"/p{k % 990}", f"with{k}", f"without{k}") for k in range(1_000)])
+    df = spark.createDataFrame([("/p989", "x"), ("/p0", ""), ("/p990", "x")], "path string, v string")
+    got = df.select(R.header_forward_target(F.col("path"), F.create_map(F.lit("V"), F.array("v")), rules).alias("t")).collect()
+    assert [r["t"] for r in got] == ["with989", "without0", None]
+    assert one(spark, R.header_forward_target(F.lit("/p0"), F.create_map(F.lit("V"), F.array(F.lit("v"))), HeaderForward(False))) is None
 
 
 def test_allocator_sequence(spark):
