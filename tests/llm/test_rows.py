@@ -357,19 +357,96 @@ def test_real_decoder_agrees(pieces):
 
 # --- toxicity ---
 
-def test_held_out_rows(spark):
-    sf = "/root/testdata/sf0.01"
+def held_out(spark, sf, part):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    held = labels.where(F.pmod(F.xxhash64("doc_id", F.lit("test")), F.lit(4)) == 0)
+    held = labels.where(F.pmod(F.xxhash64("doc_id", F.lit("test")), F.lit(4)) == part)
     chain = X.fit(docs, labels.join(held, "doc_id", "left_anti"))
-    got = X.score(docs, chain).join(held.select("doc_id", F.col("toxic").alias("y")), "doc_id").collect()
-    hits = [r["toxic"] == r["y"] for r in got]
-    assert len(hits) > 50 and sum(hits) / len(hits) >= 0.9
-    assert not any(r["toxic"] and not r["y"] for r in got)
+    got = X.score(docs, chain).join(held.select("doc_id", F.col("toxic").alias("y")), "doc_id").groupBy("y", "toxic").count().collect()
+    n = {(r["y"], r["toxic"]): r["count"] for r in got}
+    return docs, chain, [n.get(k, 0) for k in ((1, 1), (1, 0), (0, 1), (0, 0))]
+
+
+def test_held_out_rows(spark):
+    """A quarter held out: of sf0.1's 107 toxic rows at least nine tenths are found, of the clean ones at most one in a hundred."""
+    docs, chain, (hit, missed, wrong, right) = held_out(spark, "/root/testdata/sf0.1", 0)
+    assert hit + missed > 100 and hit >= 0.9 * (hit + missed) and wrong <= 0.01 * (wrong + right)
     clean = X.keep_clean(docs, chain)
     assert clean.columns == docs.columns and clean.count() == X.score(docs, chain).where("toxic = 0").count()
 
 
+def test_held_out_rows_of_a_small_table(spark):
+    _, _, (hit, missed, wrong, _) = held_out(spark, "/root/testdata/sf0.01", 0)
+    assert hit + missed == 13 and hit >= 10 and not wrong
+
+
+def plain_chain(rows, folds, names):
+    """The chain over real strings in dicts, dense: rows are (text, labels)."""
+
+    def features(text):
+        n = {}
+        for w in text.lower().split():
+            w = w.strip(".,;:!?") or w
+            for f in (w, *((w[:k], k) for k in X.PREFIXES if len(w) > k)):
+                n[f] = n.get(f, 0) + 1
+        return {(f, t) for f, c in n.items() for t in X.TIMES if c >= t}
+
+    sets, y = [features(t) for t, _ in rows], np.array([v for _, v in rows], float)
+    table = sorted(set().union(*sets), key=repr)
+    dense = np.array([[f in s for f in table] for s in sets], float)
+
+    def chosen(train):
+        a, b = (dense[train & (y[:, -1] == k)].mean(0) for k in (0, 1))
+        n0, n1 = ((train & (y[:, -1] == k)).sum() for k in (0, 1))
+        p = dense[train].mean(0)
+        z = abs(b - a) / np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1) + 1e-12)
+        return (dense[train].sum(0) >= X.LEAST_ROWS) & (z >= min(X.LEAST_Z, np.sqrt(n0 + n1) / 2))
+
+    def model(train, before, target):
+        use = chosen(train)
+        r, c = np.nonzero(dense[train][:, use])
+        w, b = X.logistic(r, c, before[train], target[train], use.sum())
+        return b + dense[:, use] @ w[: use.sum()] + before @ w[use.sum() :]
+
+    oof = full = np.zeros((len(rows), 0))
+    for k in range(len(names)):
+        out = np.zeros(len(rows))
+        for fold in range(X.FOLDS):
+            out[folds == fold] = model(folds != fold, oof, y[:, k])[folds == fold]
+        everyone = np.ones(len(rows), bool)
+        use = chosen(everyone)
+        r, c = np.nonzero(dense[:, use])
+        w, b = X.logistic(r, c, oof, y[:, k], use.sum())
+        now = b + dense[:, use] @ w[: use.sum()] + np.clip(full, -6, 6) @ w[use.sum() :]
+        oof, full = np.column_stack([oof, np.clip(out, -6, 6)]), np.column_stack([full, now])
+    return 1 / (1 + np.exp(-full))
+
+
+def test_the_chain_equals_a_plain_one(spark):
+    rng = random.Random(4)
+    marks = {0: ["plainword", "ordinary", "garden"], 1: ["grobianish", "vile"]}
+    rows = []
+    for k in range(160):
+        y = int(rng.random() < 0.4)
+        words = [rng.choice("alpha beta gamma delta epsilon zeta".split()) for _ in range(12)] + [rng.choice(marks[y if rng.random() < 0.9 else 1 - y]) for _ in range(rng.randint(1, 5))]
+        rng.shuffle(words)
+        rows.append((k, " ".join(words), int(y and "vile" in words), y))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, a, b) for i, _, a, b in rows], "doc_id long, a int, toxic int")
+    folds = np.array([r["f"] for r in spark.range(160).select(F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(X.FOLDS)).alias("f")).collect()])
+    want = plain_chain([(t, (a, b)) for _, t, a, b in rows], folds, ("a", "toxic"))
+    got = {r["doc_id"]: (r["p_a"], r["p_toxic"]) for r in X.score(docs, X.fit(docs, labels, categories=("a", "toxic"))).collect()}
+    assert np.abs(np.array([got[k] for k in range(160)]) - want).max() < 1e-6
+
+
+def test_clusters_part_what_shares_nothing():
+    rng = np.random.default_rng(1)
+    blocks = [(k, int(j)) for k in range(90) for j in {int(x) for x in rng.integers(0, 10, 6)} for j in [j + (20 if k % 3 == 0 else 0)]]
+    rows, cols = np.array(blocks).T
+    got = X.clusters(rows, cols, 90, 40, 2)
+    assert got.tolist() == [1 if k % 3 == 0 else 0 for k in range(90)]
+    assert X.clusters(np.zeros(0, np.int64), np.zeros(0, np.int64), 1, 5, 2).tolist() == [0]
+
+
 def test_toxicity_of_odd_rows(spark):
     docs = odd(spark)
     labels = spark.createDataFrame([(1, 0), (3, 1), (3, 0), (None, 1)], "doc_id long, toxic int")
@@ -386,10 +463,11 @@ def test_a_small_label_table_is_learned(spark):
     assert got == {k: int(k % 3 == 0) for k in range(36)}
 
 
-def test_held_out_recall(spark):
-    sf = "/root/testdata/sf0.01"
-    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    held = labels.where(F.pmod(F.xxhash64("doc_id", F.lit("test")), F.lit(4)) == 0)
-    chain = X.fit(docs, labels.join(held, "doc_id", "left_anti"))
-    got = X.score(docs, chain).join(held.where("toxic = 1").select("doc_id"), "doc_id").collect()
-    assert len(got) == 13 and sum(r["toxic"] for r in got) >= 9
+def test_many_rows_of_one_id_are_one_labelled_row(spark):
+    many = spark.range(100_000).select(F.lit(0).cast("long").alias("doc_id"), F.lit("a vile text").alias("text"))
+    docs = many.unionByName(spark.createDataFrame([(k, "a kind text" if k % 2 else "a vile text") for k in range(1, 30)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(30)], "doc_id long, toxic int")
+    assert X._sample(docs, labels, "doc_id", "text", ("toxic",), 40).count() == 30
+    assert X._sample(docs, labels, "doc_id", "text", ("toxic",), 7).count() == 7
+    got = {(r["doc_id"], r["toxic"]) for r in X.score(docs, X.fit(docs, labels)).distinct().collect()}
+    assert got == {(k, 1 - k % 2) for k in range(30)}
