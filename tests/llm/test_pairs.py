@@ -162,3 +162,116 @@ def test_rows_and_items_without_ids(spark):
     docs, bench, got = found(spark, [(None, MARIA), (None, "clean words"), (None, other), (4, "clean too")], [(None, MARIA), (2, other)])
     assert [x[:3] for x in got] == [(None, 2, "exact"), (None, None, "exact")]
     assert sorted(r["text"] for r in decontaminate(docs, bench).collect()) == ["clean too", "clean words"]
+
+
+TRAIN = "the blue train with seven open wagons carries {0} heavy boxes of apples over the long bridge then it comes back at night and carries the same {0} heavy boxes of apples over the short bridge to the old harbour"
+
+
+def test_a_contradiction_stays_one_behind_an_inserted_word(spark):
+    """One value stands for one value over the whole match: neither in place nor behind inserted words may 5 be 7 first and 9 later."""
+    item = [(1, TRAIN.format(5))]
+    half = TRAIN.index(" then it comes")
+    seven, nine = TRAIN.format(7), TRAIN.format(9)
+    texts = [(1, seven), (2, seven[:half] + nine[half:]), (3, seven[:half] + " and" + nine[half:]), (4, seven[:half] + " and" + seven[half:]), (5, seven + " . " + nine), (6, seven[:half] + " and quickly " + nine[half:] + " " + TRAIN.format(5))]
+    docs, bench, got = found(spark, texts, item)
+    n = {i: m / w for i, _, _, m, w in got}
+    whole = got[0][4]
+    full = {r["doc_id"]: r["n_matched"] for r in contaminated(docs, bench, coverage_percent=1).collect()}
+    assert full[1] == whole and full[5] == whole and full[6] == whole and set(n) >= {1, 4, 5, 6}
+    # the side with more windows stays, the other's windows with the value go
+    assert full[2] < whole and full[3] <= full[2] and full[3] < full[4]
+    assert {i: kind for i, _, kind, _, _ in got}[6] == "exact"
+
+
+def test_runs_of_number_words_are_one_number(spark):
+    item = "a farmer sells 120 melons on the market and keeps 15 melons for the winter days at home"
+    other = item.replace("120", "one hundred and twenty").replace("15", "twenty one")
+    got = found(spark, [(1, other), (2, other.replace("and keeps", "and and keeps")), (3, "one and two"), (4, item)], [(1, item)])[2]
+    assert [x[:3] for x in got if x[0] != 2] == [(1, 1, "reparameterised"), (4, 1, "exact")]
+    assert found(spark, [(1, other)], [(1, other)])[2][0][2] == "exact"
+
+
+def problems(spark, sf, seed=5):
+    """Word problems of the benchmark's words, and re-parameterised copies: other numbers and names, an inserted and a left-out word."""
+    rng = random.Random(seed)
+    names = [f"{a}{b}" for a in ("Ma", "Jo", "Li", "Pe") for b in ("rion", "tter", "sanna", "kobus")]
+    items, copies = [], []
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        words = [w.lower().strip(".,;:!?") for w in r["text"].split()]
+        marks = {k: rng.choice("NNP") for k in rng.sample(range(2, len(words) - 2), max(2, len(words) // 10))}
+        people = rng.sample(names, 4)
+
+        def written(numbers, who):
+            return ["".join((str(numbers[k]) if m == "N" else who[k % 2]) if (m := marks.get(k)) else w) for k, w in enumerate(words)]
+
+        items.append((r["item_id"], " ".join(written({k: rng.randint(2, 99) for k in marks}, people[:2]))))
+        new = written({k: rng.randint(2, 99) for k in marks}, people[2:])
+        new.insert(len(new) // 2, "also")
+        del new[len(new) // 4]
+        copies.append((r["item_id"], "some words before it . " + " ".join(new) + " . and some words behind it"))
+    return items, copies
+
+
+def test_recall_of_reparameterised_copies(spark, sf):
+    items, copies = problems(spark, "/root/testdata/sf0.01")
+    docs, bench = spark.createDataFrame(copies, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(docs, bench).collect()}
+    hits = sum((i, i) in got for i, _ in items)
+    assert hits >= 0.9 * len(items) and all(a == b for a, b in got)
+
+
+def plain_match(text, item, window=8):
+    """Windows by hand over words without sentence starts: numbers and inner capitals are slots; the votes of docs as the module states them."""
+
+    def tokens(t):
+        words = t.split()
+        return [("#" if w.isdigit() else "@" if w[0].isupper() and k else w.lower().strip("."), w) for k, w in enumerate(words)]
+
+    def wins(t):
+        x = tokens(t)
+        return [(k, tuple(a for a, _ in x[k : k + window]), [(a, w) for a, w in x[k : k + window] if a in "#@"]) for k in range(len(x) - window + 1) if 2 * sum(a not in "#@" for a, _ in x[k : k + window]) >= window]
+
+    mine, first = wins(item), {}
+    for k, key, slots in mine:
+        first.setdefault(key, (k, slots))
+    pairs = sorted((k - first[key][0], key, tuple(zip(first[key][1], slots))) for k, key, slots in wins(text) if key in first)
+    regions = []
+    for x in pairs:
+        if not regions or x[0] - regions[-1][-1][0] > max(len(first) // 2, 1):
+            regions.append([])
+        regions[-1].append(x)
+    best = 0
+    for r in regions:
+        votes = {}
+        for _, key, ps in set(r):
+            for b, d in set(ps):
+                votes.setdefault(b, {}).setdefault(d, set()).add((key, ps))
+        if any(sorted(map(len, v.values()))[-2:] and len(v) > 1 and sorted(map(len, v.values()))[-1] == sorted(map(len, v.values()))[-2] for v in votes.values()):
+            return None  # a tie: decided by hashes
+        to = {b: max(v, key=lambda d: len(v[d])) for b, v in votes.items()}
+        good = [x for x in r if all(to[b] == d for b, d in x[2])]
+        names = {p for x in good for p in x[2] if p[0][0] == "@"}
+        best = max(best, len({x[1] for x in good}) if len({d for _, d in names}) == len(names) else 0)
+    return best, len(first)
+
+
+def test_matches_equal_plain_ones(spark, sf):
+    items, copies = problems(spark, sf, 9)
+    rng = random.Random(2)
+    texts = [(i, re.sub(r"\d+", lambda m: m[0] if rng.random() < 0.6 else str(rng.randint(2, 9)), t.replace(" . ", " ")) if i % 2 else dict(items)[i]) for i, t in copies]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["n_matched"], r["n_windows"]) for r in contaminated(docs, bench, coverage_percent=1).collect()}
+    seen = 0
+    for i, t in texts:
+        want = plain_match(t, dict(items)[i])
+        if want is not None and want[0]:
+            seen += 1
+            assert got[i, i] == want
+    assert seen > 0.6 * len(texts)
+
+
+def test_decontamination_of_long_and_repeated_texts(spark):
+    item = [(1, TRAIN.format(5))]
+    docs = spark.createDataFrame([(1, "word " * 40_000 + TRAIN.format(8) + " word" * 40_000), (2, (TRAIN.format(6) + " ") * 300), (3, "x" * 500_000)] + [(4, TRAIN.format(3))] * 50, "doc_id long, text string")
+    got = {(r["doc_id"], r["kind"]) for r in contaminated(docs, spark.createDataFrame(item, "item_id long, text string")).collect()}
+    assert got == {(1, "reparameterised"), (2, "reparameterised"), (4, "reparameterised")}
