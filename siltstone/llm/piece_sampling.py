@@ -3,10 +3,13 @@
 A text is read as SentencePiece reads it: a space before it, spaces as the meta symbol, characters outside the vocabulary as byte pieces (a literal
 meta symbol is one of those, so that decoding can tell it from a space).  Its pieces form a lattice over byte positions.  Forward filtering sums the
 weights of all segmentations up to each position; backward sampling then draws a segmentation from the end with its exact probability,
-by random numbers that depend on the seed, the row's key and the place in the text only: not on partitions, batches or retries.
+by random numbers that depend on the seed, the row's key and the place in the text only: not on partitions, batches or retries.  Each node's edge is drawn
+with a number of its own, so a draw doesn't hang on the way to the node.
 Weights are exp(score / temperature): a piece's score is the model's log probability, or, for a model whose scores are merge
 ranks, -log(rank + 2).  No piece of the model spans a space after another character, so words are separate lattices, and each distinct
-word of a batch is filtered once.
+word of a batch is filtered once.  Words up to TOGETHER bytes are filtered together, a position at a time.  Longer ones, as scripts without spaces and
+encoded data have, are cut into blocks of so many bytes: all blocks together give the linear map from the weights before a block to those at its end, the
+maps give the weights before each block, and with these all blocks are filtered together.  The cost is linear in the text for any word length.
 
 Rows: a null text encodes like an empty one, to no pieces.  Equal rows get equal pieces; equal texts with different keys
 are sampled apart.  A null key counts as one more key.  Any valid string decodes to itself.  Other columns are ignored.
@@ -26,8 +29,10 @@ from siltstone.llm.bytewords import _ROOT, _TABLE, CHUNK_BYTES, _powers, chunks,
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
-#: Words up to so many bytes are filtered together, a position at a time; longer ones one by one.
+#: Words up to so many bytes are filtered whole, and the blocks of longer ones are so long.
 TOGETHER = 40
+#: Blocks whose maps are held at once: as many matrices of the longest piece's length squared.
+BLOCKS = 2048
 SCALE = 1000.0
 _SLOT_BITS = 20
 #: Bytes of text that are encoded together; a longer text is taken by itself.
@@ -70,6 +75,7 @@ class Pieces:
     following: np.ndarray
     byte_ids: np.ndarray
     scaled: np.ndarray | None
+    log_scale: float
 
 
 def load(model: str = MODEL, temperature: float = 1.0) -> Pieces:
@@ -107,7 +113,7 @@ def load(model: str = MODEL, temperature: float = 1.0) -> Pieces:
         following[k], heads[slot] = heads[slot], k
     lengths = np.diff(bounds)
     scaled = np.exp(scores + np.log(SCALE) / temperature * np.maximum(lengths, 1)) if temperature >= 0.5 else None
-    return Pieces(blob, bounds, scores, hashes, usable, lengths, heads, following, byte_ids, scaled)
+    return Pieces(blob, bounds, scores, hashes, usable, lengths, heads, following, byte_ids, scaled, np.log(SCALE) / temperature)
 
 
 def _is_byte(byte_ids: np.ndarray, size: int) -> np.ndarray:
@@ -121,7 +127,7 @@ class Lattice:
     """The lattices of the words data[bounds[k]:bounds[k+1]].  Byte b of word k is node b + k, its end one more.
 
     The edges into node v are firsts[v]:firsts[v + 1], with their source nodes and pieces.  total: of a word up to TOGETHER bytes the summed, scaled
-    weights of all segmentations up to a node; of a longer one their logarithm.
+    weights of all segmentations up to a node; of a longer one, or at a low temperature, their logarithm.
     """
 
     base: np.ndarray
@@ -169,7 +175,7 @@ def _matches(p: Pieces, data: np.ndarray, bounds: np.ndarray):
 
 
 def _filtered(p: Pieces, data: np.ndarray, bounds: np.ndarray) -> Lattice:
-    """Forward filtering of all words at once, a position at a time; of longer words one by one, in logarithms."""
+    """Forward filtering of all words at once, a position at a time; of longer words in blocks."""
     length = np.diff(bounds)
     word = np.repeat(np.arange(len(length)), length)
     base = bounds[:-1] + np.arange(len(length))
@@ -187,8 +193,7 @@ def _filtered(p: Pieces, data: np.ndarray, bounds: np.ndarray) -> Lattice:
         place[src + n] += 1
     del found, place
     total = np.zeros(nodes)
-    together = TOGETHER if p.scaled is not None else 0
-    short = np.flatnonzero(length <= together)
+    short = np.flatnonzero(length <= _together(p))
     short = short[np.argsort(-length[short], kind="stable")]
     total[base[short]] = 1.0
     for k in range(1, int(length[short].max(initial=0)) + 1):
@@ -200,19 +205,122 @@ def _filtered(p: Pieces, data: np.ndarray, bounds: np.ndarray) -> Lattice:
             e = edge[on] + j
             acc[on] += total[sources[e]] * p.scaled[pieces[e]]
         total[at] = acc
-    for k in np.flatnonzero(length > together):
-        total[base[k] : base[k] + length[k] + 1] = -np.inf
-        total[base[k]] = 0.0
-        for node in range(int(base[k]) + 1, int(base[k]) + int(length[k]) + 1):
-            a, b = firsts[node], firsts[node + 1]
-            if a < b and np.isfinite(top := (value := total[sources[a:b]] + p.scores[pieces[a:b]]).max()):
-                total[node] = top + np.log(np.exp(value - top).sum())
-    return Lattice(base, length, firsts, sources, pieces, total)
+    x = Lattice(base, length, firsts, sources, pieces, total)
+    long = np.flatnonzero(length > _together(p))
+    if len(long):
+        _filter_blocks(p, x, long)
+    return x
 
 
-def _uniform(key: np.ndarray, step: int) -> np.ndarray:
+def _together(p: Pieces) -> int:
+    """Words up to so many bytes are filtered in scaled weights."""
+    return TOGETHER if p.scaled is not None else 0
+
+
+def _advance(x: Lattice, weights: np.ndarray, start: np.ndarray, size: np.ndarray, held: np.ndarray, logs: bool, seen=None) -> np.ndarray:
+    """Filter blocks a position at a time.  Block b has the size[b] nodes behind node start[b], sizes descending; held[b, i % reach] is the weight of node start[b] + i.
+
+    held has a last axis for different weights before the blocks.  seen(nodes, weights) is called for each position.  Returns the weights of the last nodes.
+    """
+    reach = held.shape[1]
+    for k in range(1, int(size.max(initial=0)) + 1):
+        node = start[: np.searchsorted(-size, -k, "right")] + k
+        edge, n = x.firsts[node], x.firsts[node + 1] - x.firsts[node]
+        acc = np.full((len(node), held.shape[2]), -np.inf if logs else 0.0)
+        for j in range(int(n.max(initial=0))):
+            on = np.flatnonzero(n > j)
+            e = edge[on] + j
+            before = held[on, (k - (node[on] - x.src[e])) % reach]
+            weight = weights[x.ids[e]][:, None]
+            acc[on] = np.logaddexp(acc[on], before + weight) if logs else acc[on] + before * weight
+        held[: len(node), k % reach] = acc
+        if seen is not None:
+            seen(node, acc[:, 0])
+    return held
+
+
+def _filter_blocks(p: Pieces, x: Lattice, words: np.ndarray) -> None:
+    """Set total, as logarithms, for these words.  The weights of a block's last nodes are a linear map of those before it."""
+    logs = p.scaled is None
+    weights, zero = (p.scores, -np.inf) if logs else (p.scaled, 0.0)
+    block = max(TOGETHER, 1)
+    pieces = -(-x.length[words] // block)
+    whose = np.repeat(words, pieces)
+    nth = np.arange(len(whose)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = x.base[whose] + nth * block
+    size = np.minimum(block, x.base[whose] + x.length[whose] - start)
+    ends = np.append(nth[1:] == 0, True)  # the last block of its word
+    reach = int((np.repeat(np.arange(len(x.firsts) - 1), np.diff(x.firsts)) - x.src).max(initial=1))
+    before, offset = np.full((len(whose), reach), zero), np.zeros(len(whose))
+    first = np.full(reach, zero)
+    first[0] = 0.0 if logs else 1.0
+    for a in range(0, len(whose), BLOCKS):
+        some = np.arange(a, min(a + BLOCKS, len(whose)))
+        maps = some[~ends[some]]  # these have block bytes each
+        unit = np.full((len(maps), reach, reach), zero)
+        unit[:, (-np.arange(reach)) % reach, np.arange(reach)] = 0.0 if logs else 1.0
+        moved = _advance(x, weights, start[maps], size[maps], unit, logs)[:, (block - np.arange(reach)) % reach] if len(maps) else unit
+        at = 0
+        for b in some:
+            if nth[b] == 0:
+                before[b] = first
+            if ends[b]:
+                continue
+            with np.errstate(divide="ignore"):
+                if logs:
+                    after = np.logaddexp.reduce(moved[at] + before[b], axis=1)
+                    top = after.max()
+                    before[b + 1], offset[b + 1] = after - top, offset[b] + top
+                else:
+                    after = moved[at] @ before[b]
+                    top = after.max()
+                    before[b + 1], offset[b + 1] = after / top, offset[b] + np.log(top)
+            at += 1
+    order = np.argsort(-size, kind="stable")
+    held = np.full((len(whose), reach, 1), zero)
+    held[:, (-np.arange(reach)) % reach, 0] = before[order]
+    shift = offset[order]
+
+    def keep(node, weight):
+        with np.errstate(divide="ignore"):
+            x.total[node] = (weight if logs else np.log(weight)) + shift[: len(node)]
+
+    x.total[x.base[words]] = 0.0
+    _advance(x, weights, start[order], size[order], held, logs, keep)
+    if not logs:  # the scale of a node's logarithm is that of its bytes
+        nodes = x.length[words] + 1
+        place = np.arange(nodes.sum()) - np.repeat(np.cumsum(nodes) - nodes, nodes)
+        x.total[np.repeat(x.base[words], nodes) + place] -= place * p.log_scale
+
+
+def _draw_long(p: Pieces, x: Lattice, word: np.ndarray, random: np.ndarray) -> list[np.ndarray]:
+    """Pieces, last first, of the occurrences of long words: an edge is drawn for every node, then the way is followed from the end."""
+    got = []
+    for k in range(len(word)):
+        lo, hi = int(x.base[word[k]]), int(x.base[word[k]] + x.length[word[k]])
+        a, b = x.firsts[lo + 1], x.firsts[hi + 1]
+        src, ids = x.src[a:b], x.ids[a:b]
+        bounds = x.firsts[lo + 1 : hi + 2] - a
+        nth = np.repeat(np.arange(hi - lo), np.diff(bounds))
+        with np.errstate(invalid="ignore"):
+            chance = np.exp(x.total[src] + p.scores[ids] - x.total[lo + 1 + nth])
+        chance = np.nan_to_num(chance)
+        sums = np.concatenate([[0.0], np.cumsum(chance)])
+        goal = sums[bounds[:-1]] + _uniform(random[k], np.arange(1, hi - lo + 1)) * (sums[bounds[1:]] - sums[bounds[:-1]])
+        edge = np.clip(np.searchsorted(sums[1:], goal, "right"), bounds[:-1], np.maximum(bounds[1:] - 1, bounds[:-1])).tolist()
+        back, piece = (src - lo).tolist(), ids.tolist()
+        v, way = hi - lo, []
+        while v:
+            e = edge[v - 1]
+            way.append(piece[e])
+            v = back[e]
+        got.append(np.array(way, np.int64))
+    return got
+
+
+def _uniform(key: np.ndarray, place: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (mix(key + np.uint64(step + 1) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        return (mix(key + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
 def sample(p: Pieces, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,40 +350,39 @@ def sample(p: Pieces, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -
         random = mix(keys[some][owner] ^ mix(nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)))
     steps: list[tuple[np.ndarray, np.ndarray]] = []
     goal, end = x.base[word], (x.base + x.length)[word]
-    scaled = x.length[word] <= (TOGETHER if p.scaled is not None else 0)
-    occ, t = np.flatnonzero(scaled), 0
+    small = x.length[word] <= TOGETHER
+    occ = np.flatnonzero(small)
+
+    def weight(e, node):
+        return x.total[x.src[e]] * p.scaled[x.ids[e]] if p.scaled is not None else np.exp(x.total[x.src[e]] + p.scores[x.ids[e]] - x.total[node])
+
     node = end[occ]
     while len(occ):
         edge, last = x.firsts[node], x.firsts[node + 1] - 1
-        left = _uniform(random[occ], t) * x.total[node]
-        left -= x.total[x.src[edge]] * p.scaled[x.ids[edge]]
+        left = _uniform(random[occ], node - goal[occ])
+        left = (left * x.total[node] if p.scaled is not None else left) - weight(edge, node)
         on = np.flatnonzero((left >= 0) & (edge < last))
         while len(on):  # to the first edge whose cumulated weight exceeds the drawn one
             edge[on] += 1
             e = edge[on]
-            left[on] -= x.total[x.src[e]] * p.scaled[x.ids[e]]
+            left[on] -= weight(e, node[on])
             on = on[(left[on] >= 0) & (e < last[on])]
         steps.append((occ, x.ids[edge]))
         node = x.src[edge]
         open_ = node != goal[occ]
-        occ, node, t = occ[open_], node[open_], t + 1
-    for o in np.flatnonzero(~scaled):
-        v, t = int(end[o]), 0
-        while v != goal[o]:
-            a, b = x.firsts[v], x.firsts[v + 1]
-            chance = np.cumsum(np.exp(x.total[x.src[a:b]] + p.scores[x.ids[a:b]] - x.total[v]))
-            e = a + min(int(np.searchsorted(chance, _uniform(random[o : o + 1], t)[0], "right")), b - a - 1)
-            while len(steps) <= t:
-                steps.append((np.zeros(0, np.int64), np.zeros(0, np.int32)))
-            steps[t] = (np.append(steps[t][0], o), np.append(steps[t][1], x.ids[e]))
-            v, t = int(x.src[e]), t + 1
+        occ, node = occ[open_], node[open_]
+    far = np.flatnonzero(~small)
+    ways = _draw_long(p, x, word[far], random[far])
     count = np.zeros(len(starts), np.int64)
     for o, _ in steps:
         count[o] += 1
+    count[far] = [len(w) for w in ways]
     stop = np.cumsum(count)
     out = np.empty(int(stop[-1]), np.int64)
     for t, (o, i) in enumerate(steps):
         out[stop[o] - 1 - t] = i
+    for o, way in zip(far, ways, strict=True):
+        out[stop[o] - len(way) : stop[o]] = way[::-1]
     per_text = np.zeros(len(n), np.int64)
     per_text[some] = np.add.reduceat(count, np.searchsorted(starts, heads))
     return out, np.concatenate([[0], np.cumsum(per_text)])
