@@ -1,12 +1,12 @@
 """Sharding by a Feistel permutation of global row numbers, in DataFrame functions only.
 
-Rows get global numbers 0..n-1: they are dealt to hash buckets, numbered inside each bucket, and shifted by the counts of the buckets
-before it.  A keyed Feistel network over a grid of a * b >= n cells, a = ceil(sqrt(n)), permutes the numbers; a number that lands outside 0..n-1 walks on
+Rows get global numbers 0..n-1: equal rows are counted first, the different ones are dealt to hash buckets, numbered inside each bucket with
+their counts, and shifted by the counts of the buckets before it; then each is expanded to its copies, in pieces of PIECE numbers.  A keyed Feistel network over a grid of a * b >= n cells, a = ceil(sqrt(n)), permutes the numbers; a number that lands outside 0..n-1 walks on
 along its cycle until it is inside.  Place p of the shuffle is slot p div shards of shard p mod shards, so shards differ by one row at most and
 slots have no gap, and place, shard and slot of any row number can be computed without the data.
 
 The order depends on the rows and the seed only, not on partitions.  Rows: any doc_id, null or repeated, is numbered like others; rows equal in
-id and text take neighbouring numbers, in any order among them.  A null text counts as empty.  No rows: no rows.
+id and text take neighbouring numbers, in any order among them, and however many there are they are one row until they are expanded.  A null text counts as empty.  No rows: no rows.
 """
 
 from __future__ import annotations
@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 #: Buckets of the numbering; the table of their counts is the only thing that is broadcast.
 BUCKETS = 4096
 ROUNDS = 6
-#: A walk passes the a * b - n < a cells outside at most once each.  Past 64 cells a longer walk has a chance under n**-32; it would raise, not err.
-WALKS = 64
+#: Numbers of one row's copies that are made together.
+PIECE = 1 << 16
+#: Steps of a walk that are tried first.  A walk meets the a * b - n <= a cells outside at most once each, so so many steps more always end it.
+WALKS = 16
 
 
 def _step(x: Column, a: Column, b: Column, seed: int) -> Column:
@@ -39,28 +41,40 @@ def _step(x: Column, a: Column, b: Column, seed: int) -> Column:
 
 def permuted(x: Column, n: Column, seed: int = 0) -> Column:
     """The place of row number x (0 <= x < n) in the shuffle of n rows."""
-    a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    a = F.greatest(F.ceil(F.sqrt(n.cast("double"))).cast("long"), F.lit(1).cast("long"))
     b = F.ceil(n.cast("double") / a).cast("long")
     b = F.when(a * b < n, b + 1).otherwise(b)
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), _step(x, a, b, seed), lambda y, _: F.when(y >= n, _step(y, a, b, seed)).otherwise(y))
-    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("the Feistel walk did not return")).cast("long"))
 
+    def walk(start: Column, steps: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1).cast("long"), steps), start, lambda y, _: F.when(y >= n, _step(y, a, b, seed)).otherwise(y))
 
-def numbered(docs: DataFrame, order: list[str], buckets: int = BUCKETS, out: str = "row_number", total: str = "n_rows") -> DataFrame:
-    """docs with global row numbers and their count.  order: columns that tell rows apart; rows equal in all of them are interchangeable."""
-    bucket = F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")
-    dealt = docs.withColumn("__bucket", bucket)
-    counts = dealt.groupBy("__bucket").agg(F.count("*").alias("__c"))
-    offsets = counts.selectExpr("__bucket AS __b", "sum(__c) OVER (ORDER BY __bucket) - __c AS __before", f"sum(__c) OVER () AS {total}")
-    keys = ", ".join(order)
-    ranked = dealt.selectExpr("*", f"row_number() OVER (PARTITION BY __bucket ORDER BY {keys}) AS __rank")
-    return ranked.join(F.broadcast(offsets), F.col("__bucket") == F.col("__b")).withColumn(out, F.col("__before") + F.col("__rank") - 1).drop("__bucket", "__b", "__before", "__rank")
+    walked = walk(_step(x, a, b, seed), F.lit(WALKS).cast("long"))
+    return F.aggregate(F.array(walked), F.lit(0).cast("long"), lambda _, y: F.when(y < n, y).otherwise(walk(y, a * b - n + 1)))
+
+
+def numbered(docs: DataFrame, buckets: int = BUCKETS, out: str = "row_number", total: str = "n_rows") -> DataFrame:
+    """docs with global row numbers and their count.  Rows equal in all columns, which must be comparable, are interchangeable."""
+    names = list(docs.columns)
+    kinds = docs.groupBy(*names).agg(F.count("*").alias("__n")).withColumn("__bucket", F.pmod(F.xxhash64(*names), F.lit(buckets)).cast("int"))
+    counts = docs.groupBy(F.pmod(F.xxhash64(*names), F.lit(buckets)).cast("int").alias("__b")).agg(F.count("*").alias("__c"))
+    offsets = counts.selectExpr("__b", "sum(__c) OVER (ORDER BY __b) - __c AS __before", f"sum(__c) OVER () AS {total}")  # of at most `buckets` rows
+    keys = ", ".join(f"`{c}`" for c in names)
+    ranked = kinds.selectExpr("*", f"sum(__n) OVER (PARTITION BY __bucket ORDER BY {keys}) - __n AS __first")
+    placed = ranked.join(F.broadcast(offsets), F.col("__bucket") == F.col("__b")).withColumn("__first", F.col("__first") + F.col("__before")).select(*names, "__n", "__first", total)
+
+    def expanded(rows: DataFrame, first: Column, n: Column) -> DataFrame:
+        return rows.select(*names, total, F.explode(F.sequence(first, first + n - 1)).alias(out))
+
+    few = expanded(placed.where(F.col("__n") <= PIECE), F.col("__first"), F.col("__n"))
+    pieces = placed.where(F.col("__n") > PIECE).select("*", F.explode(F.expr(f"sequence(0, (__n - 1) div {PIECE})")).alias("__piece"))
+    begin = F.col("__first") + F.col("__piece") * PIECE
+    return few.unionByName(expanded(pieces.repartition("__first", "__piece"), begin, F.least(F.lit(PIECE), F.col("__first") + F.col("__n") - begin)))
 
 
 def shard(docs: DataFrame, shards: int = 8, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """(doc_id, size, text_crc32, row_number, shard, slot): one row for each row of docs."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     facts = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("__h"))
-    rows = numbered(facts, ["doc_id", "text_crc32", "__h"], buckets)
+    rows = numbered(facts, buckets)
     place = rows.withColumn("__p", permuted(F.col("row_number"), F.col("n_rows"), seed))
     return place.select("doc_id", "size", "text_crc32", "row_number", F.pmod("__p", F.lit(shards)).cast("int").alias("shard"), F.expr(f"__p div {int(shards)}").alias("slot"))
