@@ -5,7 +5,8 @@ line of a leaf (by doc_id, then position) founds the leaf's template; a line of
 positions is generalised into it (the other positions are variable).  Of the lines left over, with `every_template`, each in the same order is generalised into the first
 later template that it agrees with so, or founds one; without, each is its own template.  A template that occurs in
 `min_docs` documents or more is recurring: only its first line stays, every other line of it is dropped.  Lines of fewer than
-`min_tokens` tokens, and so blank lines, are never dropped.
+`min_tokens` tokens and fewer than `min_chars` characters, and so blank lines, are never dropped: brackets, headings and single words recur in any
+corpus.  A script without spaces gives one token a line, so its lines recur word for word only.
 
 Lines end with a newline only; kept lines are joined again with newlines, so a text that loses nothing is unchanged.  A null text stays null.
 A document that loses every line keeps an empty text.  Equal rows (same id, same text) are one document and come out alike; rows without an
@@ -22,6 +23,8 @@ from siltstone.llm.shared import cut
 VARIABLE = "<*>"
 #: Bits of the map of documents that a join concerns: at most 2**12 rows of 4 KB are broadcast.  A full map only spares fewer texts the shuffle.
 MAP_BITS = 27
+#: Leaves with up to so many lines that may agree are compared in one row each, larger ones in rounds over the whole table.
+TOGETHER = 256
 
 
 def _once(expression: Column) -> Column:
@@ -54,22 +57,21 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("dkey", F.xxhash64("doc_id", "text"))
 
 
-def line_table(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """at (doc_id, dkey, pos), leaf and form (hash of the masked tokens) of every line with enough tokens."""
+def line_table(docs: DataFrame, depth: int, min_tokens: int, min_chars: int) -> DataFrame:
+    """at (doc_id, dkey, pos), leaf and form (hash of the masked tokens) of every line with enough tokens or characters."""
     lines = docs.where("text IS NOT NULL").select("doc_id", "dkey", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.select(F.struct("doc_id", "dkey", "pos").alias("at"), _once(_tokens(F.col("line"))).alias("tokens"))
-    return lines.where(F.size("tokens") >= min_tokens).select("at", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"), F.xxhash64("tokens").alias("form"))
+    lines = lines.select(F.struct("doc_id", "dkey", "pos").alias("at"), (F.length(F.btrim("line", F.lit(" \t\r\f\v"))) >= min_chars).alias("long"), _once(_tokens(F.col("line"))).alias("tokens"))
+    return lines.where((F.size("tokens") >= min_tokens) | F.col("long")).select("at", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"), F.xxhash64("tokens").alias("form"))
 
 
 def _agree(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) >= percent * F.size(a)
 
 
-def _later(rest: DataFrame, depth: int, percent: int) -> DataFrame:
-    """(leaf, form, leader) of lines that are generalised into a later template of their leaf.
+def _bands(rest: DataFrame, depth: int, percent: int) -> DataFrame:
+    """(leaf, form, at, band): two lines of a leaf that agree share a band at least; bands that only one line of the leaf has are left out.
 
-    Two lines that agree differ in at most n_off positions behind the leading tokens, so of n_off + 1 bands of these positions one is equal: lines
-    that share no band with another line of the leaf are left out, and the others of a leaf compared in order.
+    Lines that agree differ in at most n_off positions behind the leading tokens, so of n_off + 1 bands of these positions one is equal.
     """
     n = F.size("tokens")
     n_off = F.floor(n * (100 - percent) / 100).cast("int")
@@ -78,10 +80,15 @@ def _later(rest: DataFrame, depth: int, percent: int) -> DataFrame:
     def edge(k: Column) -> Column:
         return F.least(F.lit(depth), n) + F.floor(k * behind / (n_off + 1)).cast("int")
 
-    bands = F.transform(F.sequence(F.lit(0), n_off), lambda k: F.xxhash64(F.slice("tokens", edge(k) + 1, edge(k + 1) - edge(k))))
-    held = rest.select("leaf", "form", F.posexplode(bands).alias("nth", "band")).groupBy("leaf", "nth", "band").agg(F.collect_set("form").alias("forms")).where(F.size("forms") > 1)
-    some = held.select(F.col("leaf").alias("sl"), F.explode("forms").alias("sf")).distinct()
-    own = rest.join(some, (F.col("leaf") == F.col("sl")) & (F.col("form") == F.col("sf"))).groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "form", "tokens"))).alias("own"))
+    bands = F.transform(F.sequence(F.lit(0), n_off), lambda k: F.xxhash64("leaf", k, F.slice("tokens", edge(k) + 1, edge(k + 1) - edge(k))))
+    held = rest.select("leaf", "form", "at", F.explode(bands).alias("band"))
+    often = held.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("b"))
+    return held.join(often, F.col("band") == F.col("b")).drop("b")
+
+
+def _together(rest: DataFrame, percent: int) -> DataFrame:
+    """(leaf, form, leader) of the lines of leaves of at most TOGETHER lines: each leaf's lines compared in order."""
+    own = rest.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "form", "tokens"))).alias("own"))
     start = F.struct(F.expr("slice(own, 1, 0)").alias("leaders"), F.expr("CAST(array() AS ARRAY<STRUCT<form: BIGINT, leader: BIGINT>>)").alias("out"))
 
     def step(state: Column, x: Column) -> Column:
@@ -100,6 +107,46 @@ def _later(rest: DataFrame, depth: int, percent: int) -> DataFrame:
     return own.select("leaf", F.inline(F.aggregate("own", start, step, lambda s: s["out"]))).where("form <> leader")
 
 
+def _in_rounds(rest: DataFrame, bands: DataFrame, percent: int) -> DataFrame:
+    """(leaf, form, leader) as _together gives them, for leaves of any size: no leaf is gathered anywhere.
+
+    A line that is the first open one in all its bands agrees with no earlier line, so it founds a template.  Each round finds all such founders and
+    compares them with the lines behind them in their bands; a line that agrees is no longer open, and follows the first founder that it agrees with.
+    The first open line of a leaf always is a founder, so the rounds end.
+    """
+    key = ["leaf", "form"]
+    rest, slots, open_ = cut(rest), cut(bands), cut(rest.select(*key))
+    following = None
+    while open_.take(1):
+        live = slots.join(open_, key)
+        heads = live.groupBy("band").agg(F.min(F.struct("at", "form")).alias("head"))
+        marked = live.join(heads, "band").groupBy(*key).agg(F.min(F.col("head.form") == F.col("form")).alias("first"))
+        founders = cut(open_.join(marked, key, "left").where(F.coalesce("first", F.lit(True))).select(*key))
+        led = heads.select("band", F.col("head.form").alias("leader"), F.col("head.at").alias("since"))
+        pairs = slots.join(led, "band").where(F.col("at") > F.col("since")).select(*key, "leader", "since").distinct()
+        pairs = pairs.join(founders.withColumnRenamed("form", "leader"), ["leaf", "leader"])
+        known = rest.select("leaf", F.col("form").alias("leader"), F.col("tokens").alias("base"))
+        agree = pairs.join(rest.select(*key, "tokens"), key).join(known, ["leaf", "leader"]).where(_agree(F.col("tokens"), F.col("base"), percent)).select(*key, F.struct("since", "leader").alias("to"))
+        following = cut((agree if following is None else following.unionByName(agree)).groupBy(*key).agg(F.min("to").alias("to")))
+        open_ = cut(open_.join(founders, key, "left_anti").join(following, key, "left_anti"))
+    none = rest.select(*key, F.col("form").alias("leader")).limit(0)
+    return none if following is None else following.select(*key, F.col("to.leader").alias("leader"))
+
+
+def _later(rest: DataFrame, depth: int, percent: int) -> DataFrame:
+    """(leaf, form, leader) of lines that are generalised into a later template of their leaf.  Lines that share no band with another are left out."""
+    rest = cut(rest)
+    bands = cut(_bands(rest, depth, percent))
+    some = bands.select(F.col("leaf").alias("sl"), F.col("form").alias("sf")).distinct()
+    many = cut(some.groupBy("sl").agg(F.count("*").alias("n")).where(F.col("n") > TOGETHER).select(F.col("sl").alias("ml")))
+    some = rest.join(some, (F.col("leaf") == F.col("sl")) & (F.col("form") == F.col("sf"))).select("leaf", "form", "at", "tokens")
+    led = _together(some.join(many, F.col("leaf") == F.col("ml"), "left_anti"), percent)
+    if many.take(1):
+        large = F.col("leaf") == F.col("ml")
+        led = led.unionByName(_in_rounds(some.join(many, large, "left_semi"), bands.join(many, large, "left_semi"), percent))
+    return led
+
+
 def _generalised(docs: DataFrame, lines: DataFrame, depth: int, percent: int, every_template: bool) -> DataFrame:
     """(leaf, form, leader) of the lines that are generalised into an earlier line of their leaf."""
     forms = lines.groupBy("leaf", "form").agg(F.min("at").alias("at"))
@@ -119,10 +166,10 @@ def _generalised(docs: DataFrame, lines: DataFrame, depth: int, percent: int, ev
     return led.select(F.col("leaf").alias("gleaf"), F.col("form").alias("gform"), "leader")
 
 
-def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, percent: int = 80, min_docs: int = 2, min_tokens: int = 4, every_template: bool = False) -> DataFrame:
+def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, percent: int = 80, min_docs: int = 2, min_tokens: int = 4, every_template: bool = False, min_chars: int = 20) -> DataFrame:
     """(doc_id, dkey, drops): positions of the dropped lines of each document that loses some; dkey = xxhash64(doc_id, text)."""
     docs = _keyed(docs, id_col, text_col)
-    lines = cut(line_table(docs, depth, min_tokens))
+    lines = cut(line_table(docs, depth, min_tokens, min_chars))
     general = _generalised(docs, lines, depth, percent, every_template)
     named = lines.join(general, (F.col("leaf") == F.col("gleaf")) & (F.col("form") == F.col("gform")), "left")
     named = named.select("at", F.xxhash64("leaf", F.coalesce("leader", "form")).alias("template"))
