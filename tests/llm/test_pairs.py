@@ -65,6 +65,8 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, small):
     if small:  # buckets, hubs and blocks instead of plain pairs
         monkeypatch.setattr(J, "PAIRS_UP_TO", 2)
         monkeypatch.setattr(J, "BLOCK", 3)
+        monkeypatch.setattr(J, "BLOCK_WORDS", 100)
+        monkeypatch.setattr(J, "PARTNERS", 2)
     rows = fixture(seed)
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, g string, n int").repartition(3)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.jaccard_components(df).collect()}
@@ -78,6 +80,23 @@ def test_odd_rows(spark):
     assert J.jaccard_components(df.where("doc_id = 100")).count() == 0
 
 
+def test_repeated_rows_and_several_texts_of_an_id(spark):
+    """A thousand equal rows of one id are one text; an id with two texts links by either."""
+    a, b = "one two three four five six seven eight nine ten eleven twelve", "red green blue black white grey pink brown gold teal plum lime"
+    rows = [(1, a)] * 1000 + [(2, a + " more"), (3, a), (3, b), (4, b + " sand"), (5, "other words that are not alike at all in any way")] + [(5, "other words that are not alike at all in any way")] * 3
+    got = {(r["doc_id"], r["component_id"]) for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5)}
+
+
+@pytest.mark.parametrize("percent", [50, 100])
+def test_other_similarities_equal_brute_force(spark, monkeypatch, percent):
+    monkeypatch.setattr(J, "PAIRS_UP_TO", 2)
+    monkeypatch.setattr(J, "BLOCK", 4)
+    rows = fixture(7, families=4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()}
+    assert got == brute(rows, percent)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 99), (99, 100), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(links).collect()}

@@ -48,3 +48,59 @@ def test_near_duplicates_of_repeated_rows(spark):
 def test_run(spark, sf):
     rows = C.run(spark, sf).collect()
     assert rows and all(r["lossless"] for r in rows)
+
+
+ODD = [(1, None, "a"), (2, "", "a"), (None, "no id stands here in this row", "a"), (None, "no id stands here in this row", "a"), (3, "word " * 30_000, "b"), (4, "same text of eight words stands here now", "b"), (4, "same text of eight words stands here now", "b"), (5, "same text of eight words stands here now", "b")]
+
+
+def written(spark, folder, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string").withColumn("n_chars", F.length("text").cast("long"))
+    docs.write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 0), (5, 0)], "doc_id long, toxic int").write.mode("overwrite").parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "an item of the benchmark that no text of these has")], "item_id long, text string").write.mode("overwrite").parquet(f"{folder}/benchmark.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def test_stages_of_odd_rows(spark, tmp_path):
+    docs = written(spark, str(tmp_path), ODD)
+    plain = lambda df: sorted(((r["doc_id"], r["text"], r["component_id"]) for r in df.collect()), key=repr)
+    everything = sorted(ODD, key=repr)
+    assert plain(C.toxicity(spark, docs, str(tmp_path))) == everything
+    assert plain(C.decontamination(spark, docs, str(tmp_path))) == everything
+    # equal rows are one document, so 4 keeps its line and 5 loses it
+    assert plain(C.line_dedup(spark, docs, str(tmp_path))) == sorted([r for r in ODD if r[0] != 5], key=repr)
+    near = plain(C.near_duplicates(spark, docs, str(tmp_path)))
+    assert near == sorted([*ODD[:5], ODD[5]], key=repr)
+    coded = C.pieces(spark, docs, str(tmp_path)).collect()
+    assert len(coded) == len(ODD) and all(r["lossless"] for r in coded) and sum(r["n_pieces"] == 0 for r in coded) == 2
+    for name, stage in C.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_run_of_odd_rows_and_an_empty_table(spark, tmp_path):
+    written(spark, str(tmp_path), ODD)
+    got = sorted((r["doc_id"] for r in C.run(spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([1, 2, None, None, 3, 4], key=repr)
+    written(spark, str(tmp_path), [])
+    assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_broken_run_goes_on(spark, tmp_path, monkeypatch):
+    written(spark, str(tmp_path), ODD)
+    calls, stages = [], list(C.STAGES)
+
+    def noted(name, stage, fail):
+        def f(*a):
+            calls.append(name)
+            if fail:
+                raise RuntimeError("lost")
+            return stage(*a)
+
+        return name, f
+
+    monkeypatch.setattr(C, "STAGES", [noted(n, s, n == "near_duplicates") for n, s in stages])
+    with pytest.raises(RuntimeError):
+        C.run(spark, str(tmp_path), run_id="again")
+    monkeypatch.setattr(C, "STAGES", [noted(n, s, False) for n, s in stages])
+    rows = C.run(spark, str(tmp_path), run_id="again").collect()
+    assert calls == ["toxicity", "line_dedup", "near_duplicates", "near_duplicates", "decontamination", "sentencepiece"] and len(rows) == 6
