@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on every row that the one before it kept; run() writes each stage's rows as Parquet in the shared
 folder of spark.checkpoint.dir and reads them again for the next stage.
+
+Rows, in every stage: null ids, null and empty texts, repeated rows, very long texts and further columns are kept as they are unless the stage's
+own rule says otherwise; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,12 +23,12 @@ from siltstone.llm.toxicity import fit, keep_clean
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text the classifier chain, fitted on the labelled rows among docs, does not call toxic."""
+    """Rows whose text the classifier chain, fitted on the labelled rows among docs, does not call toxic.  A null or empty text is never toxic."""
     return keep_clean(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their recurring lines; a row that loses all its words goes, one that had none before stays.  n_chars follows the text."""
+    """Texts without their recurring lines; a row that loses all its words goes, one that had none before, or a null text, stays.  n_chars follows the text."""
     count = "__dropped"
     out = dedup_lines(docs, count_col=count, every_template=True)
     out = out.where((F.col(count) == 0) | F.col("text").rlike(r"\S")).drop(count)
@@ -33,7 +36,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar texts, that of the smallest id; of rows with one id the one of the least text.  Rows without an id stay."""
+    """One document of each component of similar texts, that of the smallest id; of rows with one id the one of the least text.
+
+    Rows without an id, and rows without words, which are similar to nothing, stay.
+    """
     parts = jaccard_components(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n"))
     gone = parts.where("doc_id <> c OR n > 1").select(F.col("doc_id").alias("__id"), (F.col("doc_id") == F.col("c")).alias("__again"))
     marked = docs.join(gone, docs["doc_id"] == F.col("__id"), "left")
@@ -43,12 +49,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, exact or with other values in its template."""
+    """Documents that hold no benchmark item, exact or with other values in its template.  Null and empty texts hold none."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces, pieces, lossless."""
+    """doc_id, n_pieces, pieces, lossless: a row for each row of docs; a null or empty text has no pieces."""
     return round_trip(docs)
 
 
@@ -58,13 +64,35 @@ STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_duplicates"
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _done(spark: SparkSession, name: str) -> bool:
+    path, fs = _path(spark, f"{name}/_SUCCESS")
+    return fs.exists(path)
+
+
+def _remove(spark: SparkSession, name: str) -> None:
+    path, fs = _path(spark, name)
+    fs.delete(path, True)
+
+
+def run(spark: SparkSession, sf_dir: str, run_id: str | None = None) -> DataFrame:
+    """The rows of the last stage, over the documents of sf_dir.
+
+    A stage's folder goes when the next stage is written; the one that the result reads stays.  A run that is started again with the run_id of one that
+    broke off goes on behind the last stage that was written.
+    """
     ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/corpus-pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}-{name}")
-            docs = spark.read.parquet(f"{folder}/{k}-{name}")
-    return docs
+    # the session has a folder of its own inside the shared one; a run that goes on may be in another session
+    folder = f"{spark.sparkContext.getCheckpointDir().rsplit('/', 1)[0]}/corpus-pipeline-{run_id or uuid.uuid4().hex}"
+    written = [f"{folder}/{k}-{name}" for k, (name, _) in enumerate(STAGES[:-1])]
+    at = max((k + 1 for k, name in enumerate(written) if _done(spark, name)), default=0)
+    for k in range(at, len(written)):
+        docs = spark.read.parquet(written[k - 1]) if k else table(spark, sf_dir, "documents")
+        STAGES[k][1](spark, docs, sf_dir).write.mode("overwrite").parquet(written[k])
+        if k:
+            _remove(spark, written[k - 1])
+    return STAGES[-1][1](spark, spark.read.parquet(written[-1]), sf_dir)
