@@ -84,7 +84,62 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 _FITS = " OR ".join(f"((host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') AND rule = '{h}{p}')" for h, p, _ in URL_RULES)
 _RULES = ", ".join(f"('{h}{p}', '{v}')" for h, p, v in URL_RULES)
 
+
+
+def _mixed(x: str, i: int) -> str:
+    """The round function of the Feistel network with seed 0 in SQL."""
+    p = 2**31 - 1
+    y = f"(((({x} + {i * 1000003}) % {p}) * 48271 + 11) % {p})"
+    u = f"((({y} * {y}) % {p} * 69621 + {x}) % {p})"
+    return f"(({u} * {u}) % {p})"
+
+
+_WALK = "SELECT row_number, steps, y // b AS l, y % b AS r, a, b, n FROM walk, grid WHERE steps = 0 OR y >= n"
+for _i in range(6):
+    _l, _r = (f"(l + {_mixed('r', _i)} % a) % a AS l", "r") if _i % 2 == 0 else ("l", f"(r + {_mixed('l', _i)} % b) % b AS r")
+    _WALK = f"SELECT row_number, steps, {_l}, {_r}, a, b, n FROM ({_WALK})"
+
 ORACLES: dict[str, str] = {
+    # numbers in the order of the digests, the network and its walk as a recursion, CRC-32 from its table
+    "op2_sharding": f"""
+        WITH RECURSIVE facts AS (
+            SELECT doc_id, coalesce(text, '') AS t, md5(coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS key FROM documents
+        ), numbered AS (
+            SELECT doc_id, t, row_number() OVER (ORDER BY key) - 1 AS row_number FROM facts
+        ), grid AS (
+            SELECT n, a, (n + a - 1) // a AS b FROM (SELECT count(*) AS n, greatest(ceil(sqrt(count(*)))::BIGINT, 1) AS a FROM facts)
+        ), walk AS (
+            SELECT row_number, row_number AS y, 0 AS steps FROM numbered
+            UNION ALL
+            SELECT row_number, l * b + r, steps + 1 FROM ({_WALK})
+        ), places AS (
+            SELECT row_number, arg_max(y, steps) AS p FROM walk GROUP BY 1
+        ), crc AS (
+            SELECT list_transform(range(256), lambda k: list_reduce(range(8), lambda v, i: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END), k)) AS c
+        )
+        SELECT doc_id, (strlen(t) + 1)::BIGINT AS size, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda h: ('0x' || h)::BIGINT), lambda v, x: xor(v >> 8, c[(xor(v, x) & 255) + 1]), 4294967295), 4294967295) AS text_crc32,
+            'rows' AS law, (p % 8)::INTEGER AS shard, p // 8 AS slot, NULL::INTEGER AS grown_shard, row_number
+        FROM numbered JOIN places USING (row_number), crc
+    """,
+    # shingles of every text, the pairs that share some, and the closure of the links
+    "op6_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), s AS MATERIALIZED (
+            SELECT doc_id, array_to_string(w, ' ') AS whole, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w
+        ), x AS MATERIALIZED (
+            SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s
+        ), shared AS MATERIALIZED (
+            SELECT doc_id, n, g FROM x WHERE g IN (SELECT g FROM x GROUP BY g HAVING count(*) > 1)
+        ), links AS MATERIALIZED (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM shared a JOIN shared b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, a.n, b.doc_id, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+        ), reach AS (
+            SELECT doc_id, doc_id AS c FROM s UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.c
+        ), parts AS MATERIALIZED (
+            SELECT doc_id, min(c) AS component_id FROM reach GROUP BY 1
+        )
+        SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id, CASE WHEN len(g) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY whole) END AS class_id FROM s JOIN parts USING (doc_id)
+    """,
     "op8_url_filter": f"""
         WITH parts AS (
             SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages

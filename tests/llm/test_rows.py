@@ -12,7 +12,6 @@ from io import BytesIO
 
 import numpy as np
 import pytest
-import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -58,25 +57,21 @@ def test_shards(spark, sf):
     assert H.shard(docs.limit(0)).count() == 0
 
 
-def spark_hash(*values):
-    """xxhash64 of Spark by the library: each value's hash is the seed of the next."""
-    h = 42
-    for v, width in values:
-        h = xxhash.xxh64_intdigest((v % (1 << 8 * width)).to_bytes(width, "little"), h)
-    return h - (1 << 64) if h >> 63 else h
-
-
 def plain_place(x, n, seed):
     a = math.isqrt(n - 1) + 1
     b = -(-n // a)
 
+    def f(half, i):
+        y = ((half + i * 1000003 + seed) * 48271 + 11) % H.PRIME
+        return ((y * y * 69621 + half) ** 2) % H.PRIME
+
     def step(y):
         left, right = divmod(y, b)
         for i in range(H.ROUNDS):
             if i % 2 == 0:
-                left = (left + spark_hash((seed, 4), (i, 4), (right, 8)) % a) % a
+                left = (left + f(right, i)) % a
             else:
-                right = (right + spark_hash((seed, 4), (i, 4), (left, 8)) % b) % b
+                right = (right + f(left, i)) % b
         return left * b + right
 
     x = step(x)
