@@ -85,10 +85,8 @@ def longest_prefix_route(requests: DataFrame, routes: DataFrame, path: str = "pa
 
 def registered(requests: DataFrame, routes: DataFrame, how: str = "inner") -> DataFrame:
     """JON-06: requests whose method and whole path are registered (left_anti: that are not)."""
-    spark = requests.sparkSession
-    methods = spark.createDataFrame([(m,) for m in METHODS], "m string")
-    table = methods.join(routes.select(F.col("path_prefix").alias("p")).distinct(), F.lit(True))  # seven rows for each route
-    return requests.join(table, (F.col("method") == F.col("m")) & (F.col("path") == F.col("p")), how if how != "inner" else "left_semi")
+    known = routes.select(F.col("path_prefix").alias("__p")).distinct()
+    return requests.join(known, (F.col("path") == F.col("__p")) & F.col("method").isin(*METHODS), how if how != "inner" else "left_semi")
 
 
 # --- targets ------------------------------------------------------------------------------------------------------

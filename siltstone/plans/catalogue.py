@@ -306,7 +306,7 @@ _CODES = ["PROXY_TIMEOUT", "PROXY_TARGET_UNREACHABLE", "PROXY_BAD_REQUEST", "PRO
 _CODE_SQL = f"[{', '.join(repr(c) for c in _CODES)}][event_id % 5 + 1]"
 
 
-@query(f"""SELECT event_id, {_CODE_SQL} AS code, [504, 503, 400, 500, 500][event_id % 5 + 1] AS status, ['Request timeout', 'Target service unreachable', 'Bad request', 'Internal server error', 'Bad request'][event_id % 5 + 1] AS message,
+@query(f"""SELECT event_id, {_CODE_SQL} AS code, {[R.STATUS.get(c, 500) for c in _CODES]}[event_id % 5 + 1] AS status, {[R.MESSAGES.get(c, "Bad request") for c in _CODES]}[event_id % 5 + 1] AS message,
     [400, 413, 500, 502, 500][event_id % 5 + 1] AS dynamic_status, [500, 500, 500, 502, 500][event_id % 5 + 1] AS header_status, 500 AS static_status FROM events""")
 def error_classify(spark, d):
     pick = lambda xs: F.get(F.array(*map(F.lit, xs)), F.pmod(F.col("event_id"), F.lit(5)))
