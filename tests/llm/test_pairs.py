@@ -210,6 +210,15 @@ def test_runs_of_number_words_are_one_number(spark):
     assert found(spark, [(1, other)], [(1, other)])[2][0][2] == "exact"
 
 
+def test_windows_of_few_words_match_with_their_values(spark):
+    sums = "12 7 19 , 30 4 26 and 9 8 7 6 5 so 41 3 2 11 60 12"
+    docs = [(1, "see " + sums + " there"), (2, "see " + re.sub(r"\d+", lambda m: str(int(m[0]) + 100), sums) + " there")]
+    assert [x[:3] for x in found(spark, docs, [(1, sums)])[2]] == [(1, 1, "exact")]
+    # items that differ in their values only are one template, and each is looked for
+    both = found(spark, [(1, sums), (2, sums.replace("30", "31"))], [(1, sums), (2, sums.replace("30", "31"))])[2]
+    assert {x[0] for x in both} == {1, 2}
+
+
 def problems(spark, sf, seed=5):
     """Word problems of the benchmark's words, and re-parameterised copies: other numbers and names, an inserted and a left-out word."""
     rng = random.Random(seed)
