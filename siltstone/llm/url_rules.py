@@ -8,7 +8,7 @@ rule, then the smaller rule.
 
 A key of k labels meets only rules of that very host, since the zero byte ends the host.  So the sweep is dealt by host: each rule's boundaries go
 where its host's URLs go, and keys whose host has no rule are not swept.  A host with more than `per_part` URL keys, as one with a third of all rows, is dealt to
-several parts; only its own rules are copied to each of them.
+several parts; only its own rules are copied to each of them, and parts have four keys for each rule at least, so the copies are fewer than the keys.
 
 Rows: a null url, or one without "://", has an empty host and path, which only a rule with an empty host can fit.  Ports and user names
 belong to the host as written.  Equal rows are judged each for itself.  Rules without a host count as empty host, without a path as empty path;
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: URL keys of one host that one part sweeps.
-PER_PART = 1 << 17
+PER_PART = 1 << 10
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -70,9 +70,9 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     key = F.substring(_key(F.slice("labels", 1, F.col("k")), F.substring("path", 1, longest)), 1, longest)
     payload = F.when(F.col("k") == 1, F.struct("page_id", "host", "path"))
     # hosts, as reversed labels, that have rules and URLs, and the parts that each is dealt to
-    ruled = rules.select(F.array_join(F.reverse(F.split(_lower(F.coalesce(F.col("host"), F.lit(""))), r"\.")), ".").alias("dealt")).distinct()
+    ruled = rules.select(F.array_join(F.reverse(F.split(_lower(F.coalesce(F.col("host"), F.lit(""))), r"\.")), ".").alias("dealt")).groupBy("dealt").agg(F.count("*").alias("m"))
     suffix = F.array_join(F.slice("labels", 1, F.col("k")), ".")
-    hosts = rows.groupBy(suffix.alias("part")).agg(F.count("*").alias("n")).join(ruled, F.col("part") == F.col("dealt")).select("dealt", F.ceil(F.col("n") / per_part).alias("parts"))
+    hosts = rows.groupBy(suffix.alias("part")).agg(F.count("*").alias("n")).join(ruled, F.col("part") == F.col("dealt")).select("dealt", F.ceil(F.col("n") / F.greatest(F.lit(per_part), 4 * F.col("m"))).alias("parts"))
     urls = rows.withColumn("part", suffix).join(hosts, F.col("part") == F.col("dealt"), "left").where("dealt IS NOT NULL OR k = 1")
     # a row that no rule concerns is only carried along
     salt = F.when(F.col("dealt").isNotNull(), F.pmod(F.xxhash64("rid"), F.col("parts"))).otherwise(F.xxhash64("rid"))
