@@ -34,6 +34,9 @@ MAX_TRAIN = 40_000
 MAX_FEATURES = 4096
 BITS, FOLDS, PREFIXES, TIMES, LEAST_Z, LEAST_ROWS, KINDS = 20, 5, (4, 5, 6, 7, 8), (1, 2, 4), 3.5, 3, 2
 
+#: Counts that a task gathers before it adds them up.
+SETTLE = 1 << 20
+
 _OUTER = table_of(b".,;:!?\"'()[]{}<>*_`#$%&|~-+=/\\")
 
 
@@ -179,10 +182,10 @@ def _counts(sample: DataFrame) -> DataFrame:
                 r, f = _leveled(*_features(chunk), BITS)
                 held.append(np.unique(f * slots + slot[r], return_counts=True))
                 size += len(held[-1][0])
-                if size > 1 << 22:
+                if size > SETTLE:
                     held = [settle()]
                     size = len(held[0][0])
-                    if size > 1 << 21:
+                    if size > SETTLE // 2:
                         yield batch_of(held.pop())
                         size = 0
         if held:
