@@ -730,7 +730,9 @@ def plain_chain(rows, folds, names):
     return 1 / (1 + np.exp(-full))
 
 
-def test_the_chain_equals_a_plain_one(spark):
+@pytest.mark.parametrize("settle", [1 << 20, 200])
+def test_the_chain_equals_a_plain_one(spark, monkeypatch, settle):
+    monkeypatch.setattr(X, "SETTLE", settle)
     rng = random.Random(4)
     marks = {0: ["plainword", "ordinary", "garden"], 1: ["grobianish", "vile"]}
     rows = []
