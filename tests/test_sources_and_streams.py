@@ -1,7 +1,9 @@
 """Sources, sinks, dimension tables and streams."""
 
 import json
+import time
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,3 +160,23 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
 
 def test_every_query_has_sql():
     assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    """The rows are written, so the shuffles behind them go at once; the session's setting stays, and a forgotten cut's rows go too."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {x for x in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+
+    before, setting = files(), spark.conf.get(lineage.CLEANUP)
+    counted = spark.range(1000).groupBy((F.col("id") % 50).alias("k")).count()
+    rows = lineage.cut(counted.join(counted.withColumnRenamed("count", "n").hint("merge"), "k"))
+    until = time.time() + 20
+    while files() - before and time.time() < until:  # the executors remove them on their own
+        time.sleep(0.2)
+    assert not files() - before and rows.count() == 50 and spark.conf.get(lineage.CLEANUP) == setting
+    written = Path(rows._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:"))
+    assert written.exists()
+    lineage.forget(rows)
+    assert not written.exists()
