@@ -8,6 +8,7 @@ Where a window matches, its placeholders (slots) line up too, and the slots of a
 value, and one document name for one benchmark name; numbers may coincide.  A match is not one alignment but a region, the windows whose alignments lie
 within half an item of each other, so that inserted or left-out words don't part it.  In a region the value that most windows hold counts, and
 windows that hold another are left out; a region with one name for two is left out whole.  The region with the most windows rules the text: windows elsewhere count if they don't contradict it.
+If that covers too little, the other regions rule in turn, and then the values of each pair that the text holds, so that a match behind another one's windows or votes is found.
 A document is contaminated by an item when consistent windows cover at least `coverage_percent` of the words that the item's windows cover, as `exact` when
 all slots hold the same values, else as `reparameterised`.
 
@@ -241,8 +242,30 @@ def _agreeing(wins: list[tuple]) -> list[tuple]:
     return wins if len({d for _, d in names}) == len(names) else []
 
 
-def consistent(wins: list[tuple], n_windows: int) -> list[tuple]:
-    """The (unit, span, pairs) of one text's windows (shift, unit, span, pairs) of one item that are consistent with its best region."""
+def _covered(wins: list[tuple]) -> int:
+    return len({k for _, span, _ in wins for k in range(*span)})
+
+
+def _led(wins: list[tuple], seed: tuple) -> list[tuple]:
+    """The (unit, span, pairs) that agree with the pair `seed`, then value by value with the pair that most of those left hold; none if a name is left with no value of its own."""
+    to, back, pair, left = {}, {}, seed, wins
+    while pair:
+        b, d = pair
+        to[b] = d
+        if b & 1:
+            back[d] = b
+        left = [w for w in left if all(to.get(x, y) == y and (not x & 1 or back.get(y, x) == x) for x, y in w[-1])]
+        votes = Counter(p for *_, pairs in left for p in pairs if p[0] not in to)
+        pair = min(votes, key=lambda p: (-votes[p], p), default=None)
+    lost = {x for *_, pairs in wins for x, y in pairs if x & 1 and back.get(y, x) != x} - to.keys()
+    return [] if lost else left
+
+
+def consistent(wins: list[tuple], n_windows: int, least: int = 0) -> list[tuple]:
+    """The (unit, span, pairs) of one text's windows (shift, unit, span, pairs) of one item that are consistent with its best region.
+
+    If these cover fewer than `least` words, the text's other readings are tried: each pair of values as the first that holds, in its region and in the whole text.
+    """
     wins = sorted(set(wins))
     regions, at = [], None
     for shift, *rest in wins:
@@ -250,20 +273,36 @@ def consistent(wins: list[tuple], n_windows: int) -> list[tuple]:
             regions.append([])
         regions[-1].append(tuple(rest))
         at = shift
-    regions = [_agreeing(r) for r in regions]
+    agreed = [_agreeing(r) for r in regions]
+
+    def ruled(best: list[tuple]) -> list[tuple]:
+        to = {b: d for *_, pairs in best for b, d in pairs}
+        back = {d: b for b, d in to.items() if b & 1}
+        return _agreeing([w[1:] for w in wins if all(to.get(b, d) == d and (not b & 1 or back.get(d, b) == b) for b, d in w[-1])]) or best
+
     if len(regions) == 1:
-        return regions[0]
-    best = max(regions, key=lambda r: (len({x[0] for x in r}), all(b == d for *_, pairs in r for b, d in pairs)))  # the first of equal ones
-    to = {b: d for *_, pairs in best for b, d in pairs}
-    back = {d: b for b, d in to.items() if b & 1}
-    return _agreeing([w[1:] for w in wins if all(to.get(b, d) == d and (not b & 1 or back.get(d, b) == b) for b, d in w[-1])]) or best
+        found = agreed[0]
+    else:
+        found = ruled(max(agreed, key=lambda r: (len({x[0] for x in r}), all(b == d for *_, pairs in r for b, d in pairs))))  # the first of equal ones
+    every = [w[1:] for w in wins]
+    if _covered(found) >= least or _covered(every) < least:
+        return found
+    for region in agreed:
+        if region and _covered(other := ruled(region)) >= least:
+            return other
+    for seed in sorted({p for *_, pairs in every for p in pairs}):
+        for region in [r for r in regions if any(seed in w[-1] for w in r)]:
+            # a region's own reading comes first, then what the rest of the text adds to it
+            if (own := _led(region, seed)) and _covered(other := ruled(own)) >= least:
+                return other
+    return found
 
 
 def _judged(hits: DataFrame) -> DataFrame:
     """(doc_id, dkey, ikey, n_covered, n_matched, n_pairs, changed) for each text and item.  Groups are streamed in the order of their keys; one is as large as its text at most."""
 
     def row(key, wins):
-        good = consistent(wins, key[3])
+        good = consistent(wins, *key[3:])
         pairs = {p for *_, ps in good for p in ps}
         covered = {k for _, span, _ in good for k in range(*span)}
         return key[:3] + (len(covered), len({x[0] for x in good}), len(pairs), any(b != d for b, d in pairs))
@@ -286,7 +325,7 @@ def _judged(hits: DataFrame) -> DataFrame:
         if wins:
             yield out([row(known, wins)])
 
-    keys, names = ["dkey", "ikey"], ["doc_id", "dkey", "ikey", "n_windows", "shift", "unit", "bplace", "width", "bslots", "slots"]
+    keys, names = ["dkey", "ikey"], ["doc_id", "dkey", "ikey", "n_windows", "least", "shift", "unit", "bplace", "width", "bslots", "slots"]
     plain = hits.withColumn("shift", F.col("place") - F.col("bplace")).select(names).distinct()
     return plain.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "doc_id long, dkey long, ikey long, n_covered long, n_matched long, n_pairs long, changed boolean")
 
@@ -305,7 +344,7 @@ def _contaminated(docs: DataFrame, items: DataFrame, window: int, coverage_perce
     sizes = known.groupBy("ikey").agg(F.size(F.collect_set("unit")).alias("n_windows"), words.alias("n_words"), F.min("item_id").alias("item_id"))
     widths = sorted(r["width"] for r in known.select("width").distinct().collect())  # at most `window` numbers
 
-    sized = known.drop("item_id").join(sizes.select(F.col("ikey").alias("i"), "n_windows"), F.col("ikey") == F.col("i")).drop("i")
+    sized = known.drop("item_id").join(sizes.select(F.col("ikey").alias("i"), "n_windows", F.expr(f"({coverage_percent} * n_words + 99) DIV 100").alias("least")), F.col("ikey") == F.col("i")).drop("i")
     hits = _document_windows(docs, widths, _window_map(known.withColumnRenamed("bwh", "wh"))).join(sized, F.col("wh") == F.col("bwh"))
     got = _judged(hits).groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("dkey")).alias("dkey"), "ikey").agg(F.max(F.struct("n_covered", "n_matched", (~F.col("changed")).alias("same"), "n_pairs")).alias("m"))
     got = got.join(sizes.withColumnRenamed("ikey", "i"), F.col("ikey") == F.col("i")).where(100 * F.col("m.n_covered") >= coverage_percent * F.col("n_words"))

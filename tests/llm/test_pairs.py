@@ -7,7 +7,7 @@ import pytest
 
 from siltstone.llm import jaccard_join as J
 from siltstone.llm.components import connected_components
-from siltstone.llm.decontamination import contaminated, decontaminate
+from siltstone.llm.decontamination import consistent, contaminated, decontaminate
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {k: k + 32 for k in range(65, 91)}
@@ -303,3 +303,25 @@ def test_decontamination_of_long_and_repeated_texts(spark):
     docs = spark.createDataFrame([(1, "word " * 40_000 + TRAIN.format(8) + " word" * 40_000), (2, (TRAIN.format(6) + " ") * 300), (3, "x" * 500_000)] + [(4, TRAIN.format(3))] * 50, "doc_id long, text string")
     got = {(r["doc_id"], r["kind"]) for r in contaminated(docs, spark.createDataFrame(item, "item_id long, text string")).collect()}
     assert got == {(1, "reparameterised"), (2, "reparameterised"), (4, "reparameterised")}
+
+
+def test_the_best_region_need_not_be_the_one_with_most_windows(spark):
+    """A run of ten windows (17 words) with one value hides no copy with another value whose six windows cover 48 of 60 words."""
+    words = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+    item = [w if k % 6 else "5" for k, w in enumerate(words)]
+    run = [w if w != "5" else "7" for w in item[:17]]
+    broken = [f"odd{chr(97 + k // 9)}" if k % 9 == 8 else "9" if w == "5" else w for k, w in enumerate(item)]
+    far = [f"far{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(100)]
+    got = found(spark, [(1, " ".join(run + far + broken)), (2, " ".join(broken)), (3, " ".join(run))], [(1, " ".join(item))])[2]
+    assert [x[0] for x in got] == [1, 2]
+
+
+def test_votes_for_single_values_hide_no_consistent_windows():
+    """Each value by its votes gives 2 -> 22 and 4 -> 40, which no window holds together; three windows hold 2 -> 20 and 4 -> 40."""
+    pairs = [((2, 20), (4, 40))] * 3 + [((2, 22), (4, 44))] * 2 + [((2, 22), (4, 46))] * 2
+    wins = [(0, k, (8 * k, 8 * k + 8), p) for k, p in enumerate(pairs)]
+    assert [w[0] for w in consistent(wins, 20, 24)] == [0, 1, 2]
+    assert consistent(wins, 20, 25) == []
+    # a name without a value of its own: the region is left out whole, as before
+    paris = [(0, k, (k, k + 8), ((3, 31),)) for k in range(10)] + [(0, k, (k, k + 8), ((5, 31),)) for k in range(10, 14)]
+    assert consistent(paris, 14, 10) == []
