@@ -15,7 +15,7 @@ id sort first and are told apart by their text.  Other columns stay as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.shared import cut
@@ -110,25 +110,31 @@ def _together(rest: DataFrame, percent: int) -> DataFrame:
 def _in_rounds(rest: DataFrame, bands: DataFrame, percent: int) -> DataFrame:
     """(leaf, form, leader) as _together gives them, for leaves of any size: no leaf is gathered anywhere.
 
-    A line that is the first open one in all its bands agrees with no earlier line, so it founds a template.  Each round finds all such founders and
-    compares them with the lines behind them in their bands; a line that agrees is no longer open, and follows the first founder that it agrees with.
-    The first open line of a leaf always is a founder, so the rounds end.
+    A line that is the first open one in all its bands agrees with no earlier line, so it founds a template.  Each round finds all such founders.  Where many
+    lines of a leaf share their bands these are few, so the first TOGETHER open lines of each leaf are compared in order as well: no open line stands
+    before them, so what they found or follow is final.  The lines behind all these founders in their bands are compared with them; one that agrees is no
+    longer open, and follows the first founder that it agrees with.  So a round settles TOGETHER lines of a leaf at least.
     """
     key = ["leaf", "form"]
-    rest, slots, open_ = cut(rest), cut(bands), cut(rest.select(*key))
-    following = None
+    rest, slots = cut(rest), cut(bands)
+    open_ = waiting = cut(rest.select(*key, "at"))
+    following, nth = None, F.row_number().over(Window.partitionBy("leaf").orderBy("at"))
     while open_.take(1):
-        live = slots.join(open_, key)
+        live = slots.join(open_.select(*key), key)
         heads = live.groupBy("band").agg(F.min(F.struct("at", "form")).alias("head"))
         marked = live.join(heads, "band").groupBy(*key).agg(F.min(F.col("head.form") == F.col("form")).alias("first"))
-        founders = cut(open_.join(marked, key, "left").where(F.coalesce("first", F.lit(True))).select(*key))
-        led = heads.select("band", F.col("head.form").alias("leader"), F.col("head.at").alias("since"))
-        pairs = slots.join(led, "band").where(F.col("at") > F.col("since")).select(*key, "leader", "since").distinct()
-        pairs = pairs.join(founders.withColumnRenamed("form", "leader"), ["leaf", "leader"])
-        known = rest.select("leaf", F.col("form").alias("leader"), F.col("tokens").alias("base"))
+        early = cut(open_.withColumn("nth", nth).where(F.col("nth") <= TOGETHER).select(*key))
+        known = rest.select("leaf", F.col("form").alias("leader"), F.col("at").alias("since"), F.col("tokens").alias("base"))
+        led = cut(_together(rest.join(early, key), percent).join(known.drop("base"), ["leaf", "leader"]).select(*key, F.struct("since", "leader").alias("to")))
+        alone = open_.join(marked, key, "left").where(F.coalesce("first", F.lit(True))).select(*key)
+        founders = cut(alone.unionByName(early.join(led, key, "left_anti")).distinct())
+        waiting = cut(waiting.join(founders, key, "left_anti").join(early, key, "left_anti"))
+        founding = slots.join(founders, key).select("band", F.col("form").alias("leader"), F.col("at").alias("since"))
+        pairs = slots.join(waiting.select(*key), key).join(founding, "band").where(F.col("at") > F.col("since")).select(*key, "leader").distinct()
         agree = pairs.join(rest.select(*key, "tokens"), key).join(known, ["leaf", "leader"]).where(_agree(F.col("tokens"), F.col("base"), percent)).select(*key, F.struct("since", "leader").alias("to"))
+        agree = agree.unionByName(led)
         following = cut((agree if following is None else following.unionByName(agree)).groupBy(*key).agg(F.min("to").alias("to")))
-        open_ = cut(open_.join(founders, key, "left_anti").join(following, key, "left_anti"))
+        open_ = cut(waiting.join(open_.select(*key), key, "left_semi").join(following, key, "left_anti"))
     none = rest.select(*key, F.col("form").alias("leader")).limit(0)
     return none if following is None else following.select(*key, F.col("to.leader").alias("leader"))
 

@@ -232,6 +232,19 @@ def test_large_leaves_in_rounds_equal_brute_force(spark, monkeypatch, seed):
     assert {i for i, t in got.items() if not t} == {i for i, j in hand.items() if i != j}
 
 
+def test_a_leaf_of_many_templates_takes_few_rounds(spark, monkeypatch):
+    """Forty unlike lines share a band, so one of them at a time is the first open one; each round settles TOGETHER of them all the same."""
+    monkeypatch.setattr(T, "TOGETHER", 8)
+    rng, cuts, cut = random.Random(4), [], T.cut
+    monkeypatch.setattr(T, "cut", lambda df: cuts.append(1) or cut(df))
+    lines = [["we", "are", "all", "in", "the", "same", "band", *(f"{rng.choice('abc')}{'xyz'[rng.randrange(3)]}" for _ in range(16))] for _ in range(40)]
+    lines += [[*line[:-1], "end"] for line in lines[::3]]
+    docs = [(k, " ".join(line)) for k, line in enumerate(lines)]
+    got = {r["doc_id"]: r["text"] for r in T.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), every_template=True).collect()}
+    assert {i for i, t in got.items() if not t} == {i for i, j in leaders_by_hand(docs).items() if i != j} != set()
+    assert len(cuts) < 60
+
+
 def test_names_in_a_recurring_line_do_not_save_it(spark):
     docs = [(k, f"own words of text {k}{'x' * k}\njob run by {who} finished on host qq now") for k, who in enumerate(["ann", "bob", "cid", "dee"])] + [(9, "unrelated job run by nobody at all ever")]
     docs = [(0, "job run by the system was never started at all here"), *[(k + 1, t) for k, t in docs]]
